@@ -9,6 +9,7 @@ from folioscan.llm.contamination import leaked_items
 from folioscan.llm.distinctive import term_relevance
 from folioscan.llm.language import detect_languages, mislabelled
 from folioscan.llm.mixing import mix_sources
+from folioscan.llm.survivor import survivor_records, survivors
 from folioscan.session import table
 
 
@@ -23,6 +24,20 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_relevance(table(spark, sf_dir, "docs_fts")).select("id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "retrieve_papers"), table(spark, sf_dir, "source_trust"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group and field the item whose value survives."""
+    return _survivors(spark, sf_dir).select("group_id", "field_name", "item_id")
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each group."""
+    return survivor_records(_survivors(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the test passages they hold."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,7 +64,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("stretches").alias("stretch_no", "s")).select("doc_id", "stretch_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),
