@@ -84,6 +84,7 @@ def abstract(summary: str | None, titles: list[list[str]] = ()) -> list[str]:
 # Words that open a note on another paper, and number words of parts.
 NOTES = ("addendum", "addenda", "erratum", "errata", "corrigendum", "corrigenda", "correction", "corrections", "retraction", "comment", "comments", "reply", "response", "supplement")
 PARTS = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "first": 1, "second": 2, "third": 3}
+ROMAN = ("ii", "iii", "iv", "vi", "vii", "viii", "ix")
 _QUESTION = re.compile(r"\ba question\s*\W*$|^(?:is|are|what|why|how does|how do|how can|does|do|can|when|where|which|any)\b.*\?\s*$|^(?:intuition|reference|motivation|explanation|references|clarification|question|help|example|examples)\b.{0,20}\b(?:behind|for|of|about|on|regarding|with|in)\b", re.I)
 _SIDE = re.compile(r"^\s*(?:\[[^\]]{0,30}\]|\([^)]{0,30}\))\s*|\s*(?:\[[^\]]{0,30}\]|\((?:preprint|v\d+|version[^)]*|draft|revised|accepted[^)]*|to appear|submitted|extended version|arxiv[^)]*)\))\s*(?=[.\s]*$)", re.I)
 _INNER = re.compile(r"\[(?:preprint|v\d+|draft|revised)\]|\((?:preprint|v\d+|draft|revised)\)", re.I)
@@ -120,13 +121,17 @@ def read_title(title: str | None) -> dict:
     raw = re.sub(r":?\s*a question\W*$", "", raw, flags=re.I)
     tokens = re.findall(r"[^\W_]+", fold(raw).replace("-", " ").replace("&", " and "))
     tokens = [re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", t)).replace("rn", "m") for t in tokens]
-    part = 0
-    if len(tokens) > 2 and tokens[-2] in ("part", "pt", "paper", "chapter") and (tokens[-1] in PARTS or tokens[-1].isdigit()):
-        part = PARTS.get(tokens[-1]) or int(tokens[-1])
-        tokens = tokens[:-2]
-    elif len(tokens) > 2 and tokens[-1] in PARTS and tokens[-1] not in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "first", "second", "third"):
-        part = PARTS[tokens[-1]]
-        tokens = tokens[:-1]
+    part, tail = 0, tokens[-4:]
+    at = next((i for i, t in enumerate(tail) if i and t in ("part", "pt", "prat", "patr") and len(tokens) > 3), -1)
+    if at > 0:  # the words may have been swapped with their neighbours
+        rest = tail[at + 1 :]
+        part = next((PARTS.get(t) or int(t) for t in reversed(rest) if t in PARTS or t.isdecimal()), 99)
+        tokens = tokens[: len(tokens) - len(tail) + at] + [t for t in rest if t not in PARTS and not t.isdecimal()]
+    elif len(tokens) > 2 and (hit := next((t for t in tokens[-1:] + tokens[-2:-1] if t in ROMAN), None)):
+        part = PARTS[hit]
+        tokens = tokens[:-2] + [t for t in tokens[-2:] if t != hit]
+    elif len(tokens) > 2 and tokens[-1] in ("i", "v", "x"):
+        part, tokens = PARTS[tokens[-1]], tokens[:-1]
     note = ""
     if tokens and (hit := next((n for n in NOTES if near(tokens[0], n.replace("rn", "m"), 2 if len(n) > 6 else 1)), "")):
         if re.match(r"^\W*\w+\s*(?::|to\b|on\b|for\b)", fold(raw)):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.contamination import leaked_items
 from folioscan.llm.distinctive import term_relevance
 from folioscan.llm.language import detect_languages, mislabelled
+from folioscan.llm.matching import match_entities
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.survivor import survivor_records, survivors
 from folioscan.session import table
@@ -38,6 +39,20 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor_records(_survivors(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items of different sources that are the same paper."""
+    return _matches(spark, sf_dir).select("item_id_a", "item_id_b")
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return _matches(spark, sf_dir).select("item_id_a", "item_id_b", F.round("confidence", 6).alias("confidence"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_entities(table(spark, sf_dir, "retrieve_papers"), table(spark, sf_dir, "dup_groups"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the test passages they hold."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,7 +79,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("stretches").alias("stretch_no", "s")).select("doc_id", "stretch_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),
