@@ -15,8 +15,8 @@ from folioscan.sources.readers import path_exists
 def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> int:
     """JSON lines through the engine's commit protocol; the row count comes from the same job."""
     seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    (out.orderBy(order) if order else out).write.mode("overwrite").json(path)
+    # After the sort: what is below one is computed twice, for its ranges and for its rows.
+    (df.orderBy(order) if order else df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
     return seen.get["n"]
 
 
