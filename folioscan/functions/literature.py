@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import short_text, strip, text
+from folioscan.functions.text import let, short_text, strip, text
 
 # Sources in order, their labels and weights, and the terms of the query tests.
 SOURCES = ["arxiv", "openalex", "semanticscholar", "crossref", "mathoverflow", "mathse", "wikipedia"]
@@ -18,7 +18,7 @@ RECENCY, RECENCY_FRESH = 0.25, 0.40
 
 
 def contains_any(column: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(column), t))
+    return let(F.lower(column), lambda c: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t)))
 
 
 def year_of(value: Column) -> Column:
@@ -94,7 +94,7 @@ def source_rank_score(source: Column, rank: Column) -> Column:
 def overlap(title: Column, summary: Column, tokens: Column) -> Column:
     """Share of the query's tokens that occur, also inside words, in title and summary."""
     hay = F.lower(F.concat_ws(" ", text(title), text(summary)))
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.contains(hay, t))) / F.size(tokens)).otherwise(F.lit(0.0))
+    return F.when(F.size(tokens) > 0, let(hay, lambda h: F.size(F.filter(tokens, lambda t: F.contains(h, t)))) / F.size(tokens)).otherwise(F.lit(0.0))
 
 
 def recency(year: Column, now_year: int) -> Column:

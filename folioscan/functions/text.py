@@ -6,7 +6,7 @@ A missing text counts as empty. Blanks are Unicode blanks unless said otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,6 +26,11 @@ def text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(column: Column) -> Column:
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
