@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.session import spread
+
 RUN = 12  # consecutive words that make a case
 SHARE = 0.8  # or this share of the item's words in their order ...
 STRETCH = 1.25  # ... within a stretch of so many times the item's words
@@ -187,7 +189,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     """
     spark = documents.sparkSession
     rows = items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).dropDuplicates()
-    docs = documents.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull() & F.col("d").isNotNull())
+    docs = spread(documents.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull() & F.col("d").isNotNull()))
     schema = f"{doc_key} bigint, {item_key} bigint"
     listed: list = []
     result = None

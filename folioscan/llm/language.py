@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.operators.ranking import top_k
+from folioscan.session import spread
+
 FAMILIES = {"germanic": ["de", "en"], "romance": ["es", "fr"], "sinitic": ["zh"]}
 LANGUAGES = sorted(x for f in FAMILIES.values() for x in f)
 # Names and codes under which a label names each language.
@@ -181,7 +184,8 @@ class Labeller:
                 tokens = _TOKEN.findall(run[0])
                 if tokens:
                     han = int("㐀" <= tokens[0] <= "鿿")
-                    out.append((sentence.start() + run.start(), sentence.start() + run.end(), han, tokens))
+                    first = len(run[0]) - len(run[0].lstrip())
+                    out.append((sentence.start() + run.start() + first, sentence.start() + run.end(), han, tokens))
         return out
 
     @staticmethod
@@ -245,7 +249,7 @@ def counted(stretches: list[dict]) -> dict[str, tuple[int, float]]:
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, max_chars: int = 4000, rounds: int = 2) -> Model:
     """Fit the machines on a bounded sample of labelled rows.
 
-    Of each language at most ``per_language`` documents, those with the smallest
+    Of each language at most ``per_language`` documents, those with the greatest
     hash of their key, cut to ``max_chars`` (for fitting only). Labels may be
     wrong and documents mixed: after each round, sentences that the model gives
     another language are left out of the next.
@@ -257,11 +261,12 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     samples: list[tuple[list[str], str]] = []
     model = Model()
     probe = Labeller(model)
-    for c in LANGUAGES:
-        for r in rows.filter(F.col("c") == c).orderBy(F.xxhash64("k"), "k", "t").limit(per_language).collect():
-            for _, _, han, tokens in probe.pieces(r.t)[:6]:
-                if bool(han) == (c == "zh") and len(tokens) >= 4:
-                    samples.append((tokens[:60], c))
+    # At most per_language rows of each of the five languages come to the driver; the engine cuts before the shuffle.
+    sample = top_k(rows.withColumn("h", F.xxhash64("k")), per_language, ["c"], "h", "t")
+    for r in sorted(sample.collect(), key=lambda r: (r.c, r["rank"])):
+        for _, _, han, tokens in probe.pieces(r.t)[:6]:
+            if bool(han) == (r.c == "zh") and len(tokens) >= 4:
+                samples.append((tokens[:60], r.c))
     if not samples:
         return model
     vectors = [model.features(t) for t, _ in samples]
@@ -282,7 +287,8 @@ def detect_languages(documents: DataFrame, model: Model | None = None, key: str
     """One row per document row: what its label names, its stretches, and the languages that count.
 
     A language counts with at least 25 words (40 characters of Chinese) of
-    running text, or if it is the document's only one. Cases: null, empty and
+    running text, or if it is the document's only one. ``start`` and ``end`` of a
+    stretch count in the text with entities and broken encoding mended. Cases: null, empty and
     wordless texts have no stretches and no languages; a null, unknown or
     meaningless label names nothing; repeated rows give repeated rows; an empty
     table gives none; other columns are ignored.
@@ -299,7 +305,7 @@ def detect_languages(documents: DataFrame, model: Model | None = None, key: str
                 yield pd.DataFrame({"doc_id": part["k"].to_numpy(), "label_code": [label_code(x) for x in part["c"]], "stretches": stretches, "languages": [[{"lang": c, "words": n, "conf": x} for c, (n, x) in sorted(counted(s).items())] for s in stretches]})
 
     rows = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.col(lang).alias("c"))
-    return rows.mapInPandas(run, SCHEMA)
+    return spread(rows).mapInPandas(run, SCHEMA)
 
 
 def mislabelled(detected: DataFrame) -> DataFrame:

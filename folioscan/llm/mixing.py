@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.operators.skew import running_sum
-from folioscan.session import cut
+from folioscan.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
@@ -38,7 +38,7 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
             yield pd.DataFrame({"doc_id": batch["k"].to_numpy(), "source": batch["s"].to_numpy(), "n_tokens": sizes})
 
     rows = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), source_key(F.col(source)).alias("s"))
-    return rows.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows).mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 def _closing_time(demands: list[tuple[float, float]], budget: float) -> float:
