@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",  # small tables here hold much work per byte
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
