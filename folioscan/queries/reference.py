@@ -508,4 +508,4 @@ def route_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = windowed_counts(table(spark, sf_dir, "events"))
-    return got.select("start", "event_type", "n", F.round("total", 6).alias("total"))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))

@@ -37,14 +37,20 @@ def read_table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a timestamp with zone; one without is taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", slide: str | None = None, late: str = "30 minutes", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums per window and group; events later than ``late`` behind the greatest seen are dropped."""
     at = F.window(time, size, slide) if slide else F.window(time, size)
-    return events.withWatermark(time, late).groupBy(at, *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
+    return _timed(events, time).withWatermark(time, late).groupBy(at, *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str = "1 hour", by: str = "user_id") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
+    """Sessions of each ``by``: events with at most ``gap`` between them."""
+    return _timed(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
 __all__ = ["upsert_batches", "windowed_counts", "sessions", "read_table_stream"]
