@@ -33,7 +33,6 @@ def fold_accents(text: Column) -> Column:
 
 
 def clean_tag(tag: Column) -> Column:
-    """Clean form of a dirty tag: no blanks of any kind, no leading ``/tag/`` or ``#``, upper case; blank gives null."""
-    bare = F.upper(F.regexp_replace(tag, r"(?U)[\s\p{Z}\p{C}]+", ""))
-    bare = F.regexp_replace(bare, r"^(?:/?TAG/|#)+", "")
+    """Clean form of a dirty tag: without blanks of any kind around it and leading ``/tag/`` or ``#``, in upper case; blank gives null."""
+    bare = F.upper(F.regexp_replace(tag, r"(?i)^(?:[\s\p{Z}\p{C}]+|/tag/|#)+|[\s\p{Z}\p{C}]+$", ""))
     return F.when(bare != "", bare)

@@ -41,7 +41,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report}
 
-_CLEAN = r"nullif(regexp_replace(upper(regexp_replace({0}, '[\s\p{{Z}}\p{{C}}]+', '', 'g')), '^(/?TAG/|#)+', ''), '')"
+_CLEAN = r"nullif(upper(regexp_replace({0}, '(?i)^(?:[\s\p{{Z}}\p{{C}}]+|/tag/|#)+|[\s\p{{Z}}\p{{C}}]+$', '', 'g')), '')"
 
 _P3 = f"""
 WITH runs AS (SELECT run_id, min(started_at) AS s FROM build_runs GROUP BY run_id HAVING bool_or(coalesce(lower(trim(status)) = 'success', false))),

@@ -46,7 +46,7 @@ def current_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_last(rows, "tag", F.struct("f", "loaded_at", *text, "outgoing_refs")).withColumn("id", F.col("tag"))
 
 
-_CLEAN = r"nullif(regexp_replace(upper(regexp_replace({0}, '[\s\p{{Z}}\p{{C}}]+', '', 'g')), '^(/?TAG/|#)+', ''), '')"
+_CLEAN = r"nullif(upper(regexp_replace({0}, '(?i)^(?:[\s\p{{Z}}\p{{C}}]+|/tag/|#)+|[\s\p{{Z}}\p{{C}}]+$', '', 'g')), '')"
 SQL_CUR = f"""cur AS (SELECT tag AS id, r.* FROM (SELECT tag, arg_max({{'full_label': full_label, 'chapter_key': chapter_key, 'env_type': env_type, 'reference': reference, 'title': title, 'statement_text': statement_text, 'proof_text': proof_text, 'statement_html': statement_html, 'full_html': full_html, 'refs': refs}}, (f, loaded_at, full_label, chapter_key, env_type, reference, title, statement_text, proof_text, normalized_text)) AS r
   FROM (SELECT {_CLEAN.format('tag')} AS tag, coalesce(full_label, '') AS full_label, coalesce(chapter_key, '') AS chapter_key, coalesce(env_type, '') AS env_type, coalesce(reference, '') AS reference, coalesce(title, '') AS title, coalesce(statement_text, '') AS statement_text, coalesce(proof_text, '') AS proof_text, coalesce(normalized_text, '') AS normalized_text, coalesce(statement_html, '') AS statement_html, coalesce(full_html, '') AS full_html, coalesce(outgoing_refs, []) AS refs, coalesce(CASE WHEN abs(fetched_at_utc) >= 100000000000 THEN fetched_at_utc // 1000 ELSE fetched_at_utc END, 0) AS f, loaded_at FROM corpus)
   WHERE tag IS NOT NULL GROUP BY tag))"""

@@ -100,7 +100,7 @@ def test_cuts(spark):
 
 @pytest.mark.parametrize(
     ("value", "want"),
-    [(" /tag/ab12 ", "AB12"), ("#AB12 ", "AB12"), ("  ", None), (None, None), ("YOP", "YOP"), ("/tag/#x1y2", "X1Y2")],
+    [(" /tag/ab12 ", "AB12"), ("#AB12 ", "AB12"), ("  ", None), (None, None), ("YOP", "YOP"), ("/tag/#x1y2", "X1Y2"), ("\u3000a b\u00a0", "A B")],
 )
 def test_clean_tag(spark, value, want):
     assert one(spark, clean_tag(c("a")), a=value) == want
