@@ -30,7 +30,8 @@ STRETCH = 1.25  # ... within a stretch of so many times the item's words
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _COMMAND = re.compile(r"\\[A-Za-z]+\s*\{")
 _BROKEN = re.compile(r"[-\u00ad\u2010\u2011][ \t\u00a0]*\r?\n[ \t\u00a0>]*(?=\w)")
-_JOINED = re.compile(r"(?<=\w)['\u2019\u00ad\u2010\u2011-]+(?=\w)|[\u00ad\u200b-\u200d\u2060\ufeff]")
+_JOINED = re.compile("[\u2019\u00ad\u2010\u2011\u200b-\u200d\u2060\ufeff]+")  # signs that join what they stand between, with - and '
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -44,9 +45,11 @@ def words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "\\" in text:
         text = _COMMAND.sub(" ", text)
-    text = _JOINED.sub("", _BROKEN.sub("", text))
+    if "\n" in text:
+        text = _BROKEN.sub("", text)
+    text = text.replace("-", "").replace("'", "")
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _JOINED.sub("", text)))
     return _WORD.findall(text.lower())
 
 
@@ -68,9 +71,11 @@ class ItemIndex:
         idf = {t: float(np.log1p((n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
         self.blocks = -(-n // block) if n else 0
         postings: dict[int, list[tuple[int, float]]] = {}
+        self.ordered: list[float] = []  # the least score of a case of the second kind, in units of the threshold
         for k, c in enumerate(counts):
             weight = {t: idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[k] / mean)) for t, f in c.items()}
-            least = self._least(self.texts[k], c, weight)
+            least, ordered = self._least(self.texts[k], c, weight)
+            self.ordered.append(ordered / least)
             for t, w in weight.items():
                 postings.setdefault(t, []).append((k, w / least))
         # Rows of a sparse matrix by term: postings, and the block maxima over them.
@@ -82,18 +87,31 @@ class ItemIndex:
             self.best[t] = max(w for _, w in p)
         self.block = block
         self.longest = max(lengths, default=1)
-        self.runs: dict[tuple, set[int]] = {}
-        self.members = []
+        # Hashes of all runs of RUN words, sorted, with their items; a hit is compared word by word.
+        self.powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(RUN)], dtype=np.uint64)
+        hashed = [(h, k, i) for k, t in enumerate(self.texts) for i, h in enumerate(self._hashes(t).tolist())]
+        hashed.sort()
+        self.run_hash = np.array([h for h, _, _ in hashed], dtype=np.uint64)
+        self.run_at = [(k, i) for _, k, i in hashed]
+        self.members = np.zeros((n, len(self.vocab) + 1), dtype=np.int8)
         for k, t in enumerate(self.texts):
-            listed = t.tolist()
-            for i in range(len(listed) - RUN + 1):
-                self.runs.setdefault(tuple(listed[i : i + RUN]), set()).add(k)
-            self.members.append(np.zeros(len(self.vocab) + 1, dtype=np.int32))
-            self.members[-1][t] = 1
+            self.members[k, t] = 1
+        self.least_ordered = np.array(self.ordered) * (1 - 1e-9)
+        self.need = np.array([int(np.ceil(SHARE * x - 1e-9)) for x in lengths], dtype=np.int64)
+        self.most = np.array([int(STRETCH * x + 1e-9) for x in lengths], dtype=np.int64)
+
+    def _hashes(self, words_: np.ndarray) -> np.ndarray:
+        n = len(words_) - RUN + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        w, out = words_.astype(np.uint64), np.zeros(n, dtype=np.uint64)
+        for j, p in enumerate(self.powers):
+            out += w[j : j + n] * p
+        return out
 
     @staticmethod
-    def _least(text: np.ndarray, count: Counter, weight: dict[int, float]) -> float:
-        """The least weight a document holds if it is a case for this item."""
+    def _least(text: np.ndarray, count: Counter, weight: dict[int, float]) -> tuple[float, float]:
+        """The least weight a document holds if it is a case for this item, by a run or not; and if it is one by the ordered share."""
         listed = text.tolist()
         runs = [sum(weight[t] for t in set(listed[i : i + RUN])) for i in range(max(0, len(listed) - RUN) + 1)] if len(listed) >= RUN else []
         # A fifth of the words may be missing; at most that takes away the terms heaviest per occurrence.
@@ -102,7 +120,8 @@ class ItemIndex:
             taken = min(spare, count[t])
             total -= weight[t] * taken / count[t]
             spare -= taken
-        return max(min([total, *runs]), 1e-9) * (1 - 1e-9)
+        total = max(total, 1e-9) * (1 - 1e-9)
+        return max(min([total, *runs]) * (1 - 1e-9), 1e-10), total
 
     def _rows(self, rows: dict[int, list[tuple[int, float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.zeros(len(self.vocab) + 2, dtype=np.int64)
@@ -116,34 +135,63 @@ class ItemIndex:
         low, size = start[terms], start[terms + 1] - start[terms]
         return np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
-    def retrieve(self, window: np.ndarray) -> np.ndarray:
-        """Items whose score for the window's terms reaches their threshold."""
+    def retrieve(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items whose score for the window's terms reaches their threshold, and those scores."""
         terms = np.unique(window)
         terms = terms[terms > 0]
+        none = np.zeros(0, dtype=np.int64), np.zeros(0)
         if self.best[terms].sum() < 1:
-            return terms[:0]
+            return none
         at = self._gather(self.top_start, terms)
         alive = np.bincount(self.top_block[at], self.top_weight[at], self.blocks) >= 1
         if not alive.any():
-            return terms[:0]
+            return none
         at = self._gather(self.start, terms)
         at = at[alive[self.item[at] // self.block]]
-        return np.nonzero(np.bincount(self.item[at], self.weight[at], len(self.ids)) >= 1)[0]
+        scores = np.bincount(self.item[at], self.weight[at], len(self.ids))
+        found = np.nonzero(scores >= 1)[0]
+        return found, scores[found]
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
+    def _with_runs(self, doc: np.ndarray) -> set[int]:
+        """Items that share RUN consecutive words with the document."""
+        hashes = self._hashes(doc)
+        if not len(hashes) or not len(self.run_hash):
+            return set()
+        low = np.searchsorted(self.run_hash, hashes)
+        got: set[int] = set()
+        for i in np.nonzero(self.run_hash[np.minimum(low, len(self.run_hash) - 1)] == hashes)[0].tolist():
+            j = int(low[i])
+            while j < len(self.run_hash) and self.run_hash[j] == hashes[i]:
+                k, at = self.run_at[j]
+                if k not in got and np.array_equal(self.texts[k][at : at + RUN], doc[i : i + RUN]):
+                    got.add(k)
+                j += 1
+        return got
+
+    def _dense(self, doc: np.ndarray, items: np.ndarray) -> list[int]:
+        """Those items of which some stretch of the document holds as many words as the ordered share needs, in any order."""
+        inside = self.members[np.ix_(items, doc)]
+        enough = np.nonzero(inside.sum(axis=1, dtype=np.int32) >= self.need[items])[0]
+        out = []
+        for row in enough.tolist():
+            t, k = np.concatenate(([0], np.cumsum(inside[row], dtype=np.int32))), int(items[row])
+            m = min(int(self.most[k]), len(doc))
+            if (t[m:] - t[: len(t) - m]).max() >= self.need[k]:
+                out.append(k)
+        return out
+
     def _in_order(self, doc: np.ndarray, k: int) -> bool:
         """At least SHARE of the item's words in their order within STRETCH times its length."""
         text = self.texts[k]
-        need, most = int(np.ceil(SHARE * len(text) - 1e-9)), int(STRETCH * len(text) + 1e-9)
-        inside = self.members[k][doc]
+        need, most = int(self.need[k]), int(self.most[k])
+        inside = self.members[k][doc].astype(np.int32)
         total = np.concatenate(([0], np.cumsum(inside)))
         ends = np.minimum(np.arange(len(doc)) + most, len(doc))
         starts = np.nonzero((total[ends] - total[:-1] >= need) & (inside > 0))[0]
-        if not len(starts):
-            return False
         masks: dict[int, int] = {}
         for i, t in enumerate(text.tolist()):
             masks[t] = masks.get(t, 0) | 1 << i
@@ -166,15 +214,17 @@ class ItemIndex:
             return []
         stride = int(np.ceil(STRETCH * self.longest)) + 1
         retrieved: set[int] = set()
+        ordered: set[int] = set()
         for low in range(0, max(1, len(doc) - stride), stride):
-            retrieved.update(self.retrieve(doc[low : low + 2 * stride]).tolist())
+            items, scores = self.retrieve(doc[low : low + 2 * stride])
+            retrieved.update(items.tolist())
+            ordered.update(items[scores >= self.least_ordered[items]].tolist())
         if not retrieved:
             return []
-        listed, got = doc.tolist(), set()
-        for i in range(len(listed) - RUN + 1):
-            if listed[i] and (hit := self.runs.get(tuple(listed[i : i + RUN]))):
-                got |= hit & retrieved
-        got |= {k for k in retrieved - got if self._in_order(doc, k)}
+        got = self._with_runs(doc) & retrieved
+        rest = np.array(sorted(ordered - got), dtype=np.int64)
+        if len(rest):
+            got |= {k for k in self._dense(doc, rest) if self._in_order(doc, k)}
         return sorted(self.ids[k] for k in got)
 
 
