@@ -13,6 +13,7 @@ from folioscan.operators.skew import running_sum
 from folioscan.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_TARGETS = 10_000  # rows of the table of targets, which is sent to the executors
 # Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -76,6 +77,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     spark = documents.sparkSession
     sized = cut(count_tokens(documents, tokenizer=tokenizer), "tokens")
     totals = {r.source: (r.t, r.n) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).join(targets.select(source_key(F.col("source")).alias("source")).distinct(), "source").collect()}
+    if targets.count() > MAX_TARGETS:
+        raise ValueError(f"the table of targets has over {MAX_TARGETS} rows")
     everything = sized.agg(F.sum("n_tokens")).first()[0] or 0
     wanted = targets.select("mix_name", "budget_factor", source_key(F.col("source")).alias("source"), "target_weight", "max_repeats").distinct().collect()
     plan = []  # one row for each target: as many as the table of targets, which names sources by hand
