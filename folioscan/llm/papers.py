@@ -94,7 +94,8 @@ _IN = re.compile(r"[.,;]?\s+in:\s.*$", re.I)
 
 def near(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` letters are changed, lost, added or swapped with their neighbours."""
-    if abs(len(a) - len(b)) > most:
+    # Each change alters at most two of the letters that occur.
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return False
     older, old = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
