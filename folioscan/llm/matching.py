@@ -26,7 +26,7 @@ COMPARED = ["tokens", "part", "note", "question", "cut", "names", "et_al", "year
 STEM = 4  # letters of a word that an abbreviation keeps
 COMMON = 0.04  # stems in a larger share of titles say nothing about a work
 PERMUTATIONS = 8
-MAX_BLOCK = 50  # larger blocks are replaced by finer ones, with one further stem in the key
+PART = 500  # items of a block whose pairs with all of the block are one task's work
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,12 +64,11 @@ def common_stems(items: DataFrame) -> list[str]:
 
 
 def block_keys(items: DataFrame, common: list[str]) -> DataFrame:
-    """``item_id, key, open, more``: the blocks of each item.
+    """``item_id, key, open, nameless``: the blocks of each item.
 
     (surname, title stem of a MinHash permutation); (two MinHash stems) for pairs
     of which one has no authors (``open`` marks those that may only meet such a
-    one); the DOI; the arXiv identifier; the opening of the abstract. ``more``
-    holds all distinctive stems, by which a large block is split.
+    one); the DOI; the arXiv identifier; the opening of the abstract.
     """
     rare = F.array_except("stems", F.array(*[F.lit(s) for s in common]).cast("array<string>"))
     items = items.withColumn("more", F.when(F.size(rare) > 0, rare).otherwise(F.col("stems")))
@@ -79,36 +78,31 @@ def block_keys(items: DataFrame, common: list[str]) -> DataFrame:
     two = F.flatten(F.transform("mins", lambda a: F.transform(F.filter("mins", lambda b: b > a), lambda b: F.concat(F.lit("t/"), a, F.lit("/"), b))))
     two = F.when(F.size("mins") > 1, two).otherwise(F.transform("mins", lambda m: F.concat(F.lit("t/"), m, F.lit("/"))))
     exact = F.array_compact(F.array(F.when(F.col("doi") != "", F.concat(F.lit("d/"), "doi")), F.when(F.col("arxiv") != "", F.concat(F.lit("x/"), "arxiv")), F.when(F.size("abstract") >= 10, F.concat(F.lit("s/"), F.concat_ws(" ", F.slice("abstract", 1, 10).cast("array<string>"))))))
-    closed = items.select("item_id", F.explode(F.array_distinct(F.concat(by_name, exact))).alias("key"), F.lit(False).alias("open"), F.lit(False).alias("nameless"), "more")
-    titled = items.select("item_id", F.explode(F.array_distinct(two)).alias("key"), F.lit(True).alias("open"), (F.size("names") == 0).alias("nameless"), "more")
+    closed = items.select("item_id", F.explode(F.array_distinct(F.concat(by_name, exact))).alias("key"), F.lit(False).alias("open"), F.lit(False).alias("nameless"))
+    titled = items.select("item_id", F.explode(F.array_distinct(two)).alias("key"), F.lit(True).alias("open"), (F.size("names") == 0).alias("nameless"))
     return closed.unionByName(titled)
 
 
 def candidate_pairs(items: DataFrame, common: list[str]) -> DataFrame:
-    """Distinct ``a < b`` that share a block; items of one source may be the bridge between others.
+    """All distinct ``a < b`` that share a block; items of one source may be the bridge between others.
 
-    A block of over ``MAX_BLOCK`` items is replaced by blocks of its key and each
-    distinctive stem of the title: only pairs without a further common stem stop
-    meeting there. This is done twice; what is still large is joined as it is,
-    split by adaptive execution.
+    No block is cut or split by other keys, whatever its size. For balance alone
+    the left side of a block goes in parts of about ``PART`` items to as many
+    tasks, each of which sees the whole right side.
     """
     keys = cut(block_keys(items, common), "keys")
-    for _ in range(2):
-        sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "blocks")
-        large = sizes.filter(F.col("n") > MAX_BLOCK).select("key", F.lit(True).alias("large"))
-        if large.isEmpty():
-            break
+    first = ~F.col("open") | F.col("nameless")  # may be the left side of a pair
+    sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("m")), "blocks")
+    large = sizes.filter((F.col("m") > PART) & (F.col("n") > 1)).select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    if large.isEmpty():
+        parted = keys.withColumn("parts", F.lit(1))
+    else:
         total = sizes.agg(F.sum("n")).first()[0]
-        marked = lookup_join(keys, large, "key", hot_keys(sizes, "key", "n", total), "left")
-        split = marked.filter("large").select("item_id", F.explode("more").alias("s"), "key", "open", "nameless", "more").filter(~F.endswith(F.col("key"), F.concat(F.lit("/"), "s")))
-        split = split.select("item_id", F.concat("key", F.lit("/"), "s").alias("key"), "open", "nameless", "more")
-        keys = cut(marked.filter("large IS NULL").drop("large").unionByName(split), "keys")
-    keyed = keys.drop("more")
-    left = keyed.select(*[F.col(c).alias(f"{c}_a") if c != "key" else F.col(c) for c in keyed.columns])
-    right = keyed.select(*[F.col(c).alias(f"{c}_b") if c != "key" else F.col(c) for c in keyed.columns])
-    shared = left.filter("NOT open_a").join(right.filter("NOT open_b"), "key").filter("item_id_a < item_id_b")
-    lone = left.filter("open_a AND nameless_a").join(right.filter("open_b"), "key").filter("item_id_a <> item_id_b")
-    pairs = shared.select("item_id_a", "item_id_b").unionByName(lone.select(F.least("item_id_a", "item_id_b").alias("item_id_a"), F.greatest("item_id_a", "item_id_b").alias("item_id_b")))
+        parted = lookup_join(keys, large, "key", hot_keys(sizes, "key", "n", total), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = parted.filter(first).select("key", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), F.col("item_id").alias("l"), "open")
+    right = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("item_id").alias("r"))
+    met = left.join(right, ["key", "part"]).filter("IF(open, l <> r, l < r)")
+    pairs = met.select(F.least("l", "r").alias("item_id_a"), F.greatest("l", "r").alias("item_id_b"))
     return pairs.distinct()
 
 

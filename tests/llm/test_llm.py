@@ -170,6 +170,26 @@ def test_matching_edge_cases(spark):
     assert matching.match_entities(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [7, 500])
+def test_large_blocks_are_whole(spark, monkeypatch, part):
+    """All pairs of a block of over 50 items meet, with or without a further stem or a title, in one part or more."""
+    monkeypatch.setattr(matching, "PART", part)
+    n, all_pairs = 60, lambda ids: {(a, b) for a in ids for b in ids if a < b}
+    row = lambda i, title, authors, doi=None, summary=None: (i, title, authors, str(1950 + i % 70), summary, None, f"s{i}", doi, None, None)
+    said = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    blocks = [
+        [row(i, "Topology", "A. Wang") for i in range(n)],
+        [row(100 + i, "", None, "10.1234/shared.1") for i in range(n)],
+        [row(200 + i, None, None, None, said) for i in range(n)],
+        [row(300 + i, f"Sheaves {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 4}", "B. Quillen") for i in range(n)],  # no further stem in common
+        [row(400 + i, "Motives", None if i < 10 else "C. Noether") for i in range(n)],
+    ]
+    items = matching.prepare(spark.createDataFrame([r for b in blocks for r in b], EMPTY_PAPERS))
+    got = [tuple(r) for r in matching.candidate_pairs(items, []).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == set().union(*(all_pairs([r[0] for r in b]) for b in blocks))
+
+
 def test_titles_and_names():
     read = papers.read_title
     assert read("X of Y and Z: Part Two")["part"] == 2 and read("sections and part coverings  two")["part"] == 2
