@@ -403,11 +403,14 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and MRR by category of finding each tag of a chapter's first reference by its own title and tag."""
+    """Recall and MRR by category of finding every titled tag of the corpus by its own kind and title."""
     corpus, index, vectors, edges = _search_tables(spark, sf_dir)
-    per_chapter = corpus.filter("title <> ''").groupBy("chapter_key").agg(F.min_by(F.struct("id", "title", "env_type"), "id").alias("r"))
-    rows = per_chapter.select(F.col("r.id").alias("id"), F.concat_ws(" ", F.col("r.env_type"), F.col("r.title")).alias("query"), F.array("r.id").alias("relevant_tags"), F.col("r.env_type").alias("category"))
-    return evaluate(cut(rows, "eval"), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"), provider="hash", dim=256)[1]
+    return evaluate(cut(evaluation_rows(corpus), "eval"), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"), provider="hash", dim=256)[1]
+
+
+def evaluation_rows(corpus: DataFrame) -> DataFrame:
+    """``id, query, relevant_tags, category``: each titled tag is asked for by its kind and title."""
+    return corpus.filter("title <> ''").select("id", F.concat_ws(" ", "env_type", "title").alias("query"), F.array("id").alias("relevant_tags"), F.col("env_type").alias("category"))
 
 
 @query()

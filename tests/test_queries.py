@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from folioscan.queries.reference import current_corpus
 from verify import canonical
 
 SQL = entry.oracle_sql()
@@ -35,3 +36,11 @@ def test_entry(spark):
 
 def test_names():
     assert set(SQL) <= set(entry.queries())
+
+
+def test_evaluation_asks_every_titled_tag(spark, tiny):
+    titled = current_corpus(spark, tiny).filter("title <> ''")
+    rows = entry.queries()["hybrid_evaluation"](spark, tiny).collect()
+    got = {r.category: r.query_count for r in rows}
+    assert got.pop("(all)") == titled.count() > titled.select("chapter_key").distinct().count()
+    assert sum(got.values()) == titled.count()
