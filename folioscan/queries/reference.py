@@ -383,7 +383,10 @@ def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- hybrid search, on hash embeddings
 
 
-def _search_tables(spark: SparkSession, sf_dir: str, dim: int = 256) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame]:
+DIM = 1536  # the default of the hash embeddings, as in the reference's build
+
+
+def _search_tables(spark: SparkSession, sf_dir: str, dim: int = DIM) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame]:
     from folioscan.plans.pipeline import lexical_input
 
     corpus = cut(current_corpus(spark, sf_dir).withColumn("content_hash", X.sha256(F.col("statement_text"))), "corpus")
@@ -398,14 +401,14 @@ def _search_tables(spark: SparkSession, sf_dir: str, dim: int = 256) -> tuple[Da
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all stated queries, ranked over the current corpus."""
     corpus, index, vectors, edges = _search_tables(spark, sf_dir)
-    return hybrid_search(with_embeddings(asked(spark), dim=256), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"))
+    return hybrid_search(with_embeddings(asked(spark), dim=DIM), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"))
 
 
 @query()
 def hybrid_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and MRR by category of finding every titled tag of the corpus by its own kind and title."""
     corpus, index, vectors, edges = _search_tables(spark, sf_dir)
-    return evaluate(cut(evaluation_rows(corpus), "eval"), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"), provider="hash", dim=256)[1]
+    return evaluate(cut(evaluation_rows(corpus), "eval"), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"), provider="hash", dim=DIM)[1]
 
 
 def evaluation_rows(corpus: DataFrame) -> DataFrame:
@@ -416,8 +419,8 @@ def evaluation_rows(corpus: DataFrame) -> DataFrame:
 @query()
 def hash_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    made = hash_vectors(docs, "doc_id", F.col("text"), 64)
-    dense = cut(made.select("doc_id", densify(F.col("indices"), F.col("values"), 64).alias("embedding")), "hashed")
+    made = hash_vectors(docs, "doc_id", F.col("text"), DIM)
+    dense = cut(made.select("doc_id", densify(F.col("indices"), F.col("values"), DIM).alias("embedding")), "hashed")
     return vector_top_k(dense, dense.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "embedding"), 5, "doc_id")
 
 

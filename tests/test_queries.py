@@ -5,9 +5,13 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folioscan.operators.vector import densify, hash_vectors, vector_top_k
+from folioscan.queries import reference
 from folioscan.queries.reference import current_corpus
+from tests.conftest import rows
 from verify import canonical
 
 SQL = entry.oracle_sql()
@@ -40,7 +44,16 @@ def test_names():
 
 def test_evaluation_asks_every_titled_tag(spark, tiny):
     titled = current_corpus(spark, tiny).filter("title <> ''")
-    rows = entry.queries()["hybrid_evaluation"](spark, tiny).collect()
-    got = {r.category: r.query_count for r in rows}
+    got = {r.category: r.query_count for r in entry.queries()["hybrid_evaluation"](spark, tiny).collect()}
     assert got.pop("(all)") == titled.count() > titled.select("chapter_key").distinct().count()
     assert sum(got.values()) == titled.count()
+
+
+def test_hash_embeddings_have_the_default_dimension(spark, tiny):
+    """The reference's build and the operators' own defaults use 1536."""
+    vectors = reference._search_tables(spark, tiny)[2]
+    assert {r.n for r in vectors.select(F.size("embedding").alias("n")).distinct().collect()} == {1536}
+    made = hash_vectors(spark.read.parquet(f"{tiny}/documents.parquet"), "doc_id", F.col("text"))
+    dense = made.select("doc_id", densify(F.col("indices"), F.col("values"), 1536).alias("embedding"))
+    want = vector_top_k(dense, dense.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "embedding"), 5, "doc_id")
+    assert rows(entry.queries()["hash_embedding_topk"](spark, tiny)) == rows(want)
