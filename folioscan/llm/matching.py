@@ -274,13 +274,14 @@ def fit(items: DataFrame, pairs: DataFrame, groups: DataFrame | None, common: li
     return model.fit(np.array([list(x) for x, _ in labelled], dtype=float), np.array([y for _, y in labelled]))
 
 
-def match_entities(papers: DataFrame, groups: DataFrame | None = None, threshold: float = 0.5, exclude_groups: bool = True, train_pairs: int = 20_000, closing: int = 1) -> DataFrame:
+def match_entities(papers: DataFrame, groups: DataFrame | None = None, threshold: float = 0.5, exclude_groups: bool = True, train_pairs: int = 20_000, closing: bool = True) -> DataFrame:
     """Pairs of items of different sources that are one work: ``item_id_a, item_id_b, confidence``.
 
     ``groups(group_id, item_id)`` are known duplicates: they label pairs for the
     fit and, with ``exclude_groups``, their items are left out of the result.
     Items alike in all that is compared form one class; classes are matched and
-    then resolved into items. Cases: items without title or authors can still
+    then resolved into items. ``closing`` links two items that are surely one with
+    a third, over and over until no link is added. Cases: items without title or authors can still
     meet by identifier or abstract; a blank source is a source of its own;
     repeated rows count once; empty tables give no rows.
     """
@@ -310,16 +311,20 @@ def match_entities(papers: DataFrame, groups: DataFrame | None = None, threshold
 
     scores = "head_a bigint, head_b bigint, confidence double, clash boolean"
     links = cut(compared(pairs, firsts, common).mapInPandas(score, scores).filter(F.col("confidence") >= threshold).drop("clash"), "links")
-    for _ in range(closing):
+    tried = links.select("head_a", "head_b")
+    while closing:
         # A work under two titles: who is surely one with a common third, and contradicts in nothing, is one as well.
+        # Each round compares pairs that were not compared before, until it adds no link.
         sure = links.filter(F.col("confidence") >= 0.9)
         both = sure.select(F.col("head_a").alias("x"), F.col("head_b").alias("y"), "confidence").unionByName(sure.select(F.col("head_b").alias("x"), F.col("head_a").alias("y"), "confidence"))
         met = both.alias("p").join(both.alias("q"), F.col("p.x") == F.col("q.x")).filter("p.y < q.y")
-        met = met.groupBy(F.col("p.y").alias("item_id_a"), F.col("q.y").alias("item_id_b")).agg(F.max(F.col("p.confidence") * F.col("q.confidence")).alias("c"))
-        met = cut(met.join(links, (F.col("item_id_a") == links["head_a"]) & (F.col("item_id_b") == links["head_b"]), "left_anti"), "met")
-        judged = compared(met.select("item_id_a", "item_id_b"), firsts, common).mapInPandas(score, scores).filter("NOT clash").select("head_a", "head_b")
-        added = judged.join(met, (F.col("head_a") == met["item_id_a"]) & (F.col("head_b") == met["item_id_b"])).select("head_a", "head_b", F.col("c").alias("confidence"))
-        links = cut(links.unionByName(added), "links")
+        met = met.groupBy(F.col("p.y").alias("head_a"), F.col("q.y").alias("head_b")).agg(F.max(F.col("p.confidence") * F.col("q.confidence")).alias("c"))
+        met = cut(met.join(tried, ["head_a", "head_b"], "left_anti"), "met")
+        judged = compared(met.select(F.col("head_a").alias("item_id_a"), F.col("head_b").alias("item_id_b")), firsts, common).mapInPandas(score, scores).filter("NOT clash").select("head_a", "head_b")
+        added = cut(judged.join(met, ["head_a", "head_b"]).select("head_a", "head_b", F.col("c").alias("confidence")), "added")
+        if added.isEmpty():
+            break
+        links, tried = links.unionByName(added), tried.unionByName(met.select("head_a", "head_b"))
     resolved = links
     for s in "ab":
         resolved = resolved.join(members.select(F.col("head").alias(f"head_{s}"), F.col("item_id").alias(f"id_{s}"), F.col("source").alias(f"source_{s}")), f"head_{s}")

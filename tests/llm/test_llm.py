@@ -190,6 +190,19 @@ def test_large_blocks_are_whole(spark, monkeypatch, part):
     assert set(got) == set().union(*(all_pairs([r[0] for r in b]) for b in blocks))
 
 
+def test_closing_goes_on_to_the_end(spark, monkeypatch):
+    """A work under two titles, two items each: its ends are three links apart."""
+    model = matching.Classifier()
+    model.weights[[matching.FEATURES.index(f) for f in ("intercept", "title_least", "doi_same")]] = -6, 12, 12
+    monkeypatch.setattr(matching, "fit", lambda *_: model)
+    a, b, doi = "Flat covers and rings", "Descent along torsors", "10.1234/one.1"
+    data = [(1, a, None), (2, a, doi), (3, b, doi), (4, b, None)]
+    df = spark.createDataFrame([(i, t, "A. Wang", "2020", None, None, f"s{i}", d, None, None) for i, t, d in data], EMPTY_PAPERS)
+    got = {(r.item_id_a, r.item_id_b): r.confidence for r in matching.match_entities(df).collect()}
+    assert set(got) == {(x, y) for x in range(1, 5) for y in range(x + 1, 5)}
+    assert got[1, 4] < got[1, 3] < got[1, 2]
+
+
 def test_titles_and_names():
     read = papers.read_title
     assert read("X of Y and Z: Part Two")["part"] == 2 and read("sections and part coverings  two")["part"] == 2
