@@ -210,7 +210,7 @@ class ItemIndex:
     def found(self, text: str | None) -> list[int]:
         """The items that the text holds."""
         doc = self.encode(text)
-        if np.count_nonzero(doc) < min(RUN, 1 + int(SHARE * min(map(len, self.texts), default=1))):
+        if np.count_nonzero(doc) < min(RUN, self.need.min(initial=RUN)):
             return []
         stride = int(np.ceil(STRETCH * self.longest)) + 1
         retrieved: set[int] = set()

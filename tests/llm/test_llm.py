@@ -259,6 +259,15 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+def test_leaks_of_just_the_share(spark):
+    """Documents that hold exactly the share of a short passage and none of its other words."""
+    docs = [(1, "w1 w2 w4 w5"), (2, "w1 w2 w5"), (3, "v0 v1 v3 v4 v5 v6 v8 v9"), (4, "v0 v1 v3 v4 v5 v6 v8")]
+    items = [(5, "w1 w2 w3 w4 w5"), (10, " ".join(f"v{i}" for i in range(10)))]
+    for listed in (items, items[1:]):
+        got = contamination.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(listed, "item_id bigint, text string"))
+        assert {tuple(r) for r in got.collect()} == {(d, k) for d, t in docs for k in plain_leaks(t, listed)} == {(1, 5), (3, 10)} & {(d, k) for d in (1, 3) for k, _ in listed}
+
+
 def test_leak_spellings(spark):
     passage = "find all unramified residues whose module universally refines both the separated relation and a rigidified domain"
     forms = [
