@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def _first(mask: Column, year: int) -> Column:
     return F.format_string(f"{year}-%02d", low + 1)
 
 
-def orphan_references(references: DataFrame, arrivals: DataFrame, removals: DataFrame, year: int = 2024, max_rounds: int = 1000) -> DataFrame:
+def orphan_references(references: DataFrame, arrivals: DataFrame, removals: DataFrame, year: int = 2024, max_rounds: int | None = None) -> DataFrame:
     """Direct and inherited orphan references of one year.
 
     ``references(ref_table, source_tag, target_tag, at)`` may repeat; a reference
@@ -57,6 +59,8 @@ def orphan_references(references: DataFrame, arrivals: DataFrame, removals: Data
     tainted records are *inherited* orphans and taint their own sources in turn,
     until nothing new is tainted. Months are the bits of one integer, so a round
     is a join of the references to the records tainted anew and a ``bit_or``.
+    There is no bound to the rounds unless ``max_rounds`` is set; then an end
+    not reached by it is an error.
 
     Returns ``ref_table, source_tag, target_tag, first_month, kind, months``.
     Cases: null sources and null targets are no references; a reference
@@ -78,10 +82,12 @@ def orphan_references(references: DataFrame, arrivals: DataFrame, removals: Data
 
     edges = cut(judged.groupBy("source_tag", "target_tag").agg(F.min("m0").alias("m0")), "edges")
     known = cut(judged.filter("gone <> 0").groupBy("source_tag").agg(F.bit_or("gone").alias("mask")).select(F.col("source_tag").alias("tag"), "mask", F.col("mask").alias("fresh")), "taint")
-    for _ in range(max_rounds):
+    for n in itertools.count():
         frontier = known.filter("fresh <> 0").select(F.col("tag").alias("target_tag"), "fresh")
         if frontier.isEmpty():
             break
+        if n == max_rounds:
+            raise RuntimeError(f"references are still being tainted after {max_rounds} rounds")
         reached = lookup_join(edges, frontier, "target_tag", hot)
         got = reached.groupBy(F.col("source_tag").alias("tag")).agg(F.bit_or(F.col("fresh").bitwiseAND(_from(F.col("m0")))).alias("got"))
         merged = known.select("tag", "mask").join(got, "tag", "full_outer").select("tag", F.coalesce("mask", F.lit(0)).alias("old"), F.coalesce("got", F.lit(0)).alias("got"))

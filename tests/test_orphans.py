@@ -1,4 +1,7 @@
 import datetime as dt
+import inspect
+
+import pytest
 
 from folioscan.operators.orphans import orphan_references, orphan_report
 from tests.conftest import rows
@@ -43,6 +46,16 @@ def test_direct_and_inherited(spark):
     assert not any(s in "HIK" for _, s, _ in got)
 
 
+def test_no_silent_end(spark):
+    """A bound on the rounds either does not matter or is an error."""
+    chain = spark.createDataFrame([("t", f"S{i}", f"S{i + 1}", d(1)) for i in range(4)], REFS)
+    arrived = spark.createDataFrame([(f"S{i}", d(1)) for i in range(4)], EVENTS)
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        orphan_references(chain, arrived, arrived.limit(0), max_rounds=2)
+    assert rows(orphan_references(chain, arrived, arrived.limit(0), max_rounds=4)) == rows(orphan_references(chain, arrived, arrived.limit(0)))
+    assert inspect.signature(orphan_references).parameters["max_rounds"].default is None
+
+
 def test_moments(spark):
     refs = [("t", "A", "B", d(1))]
     # removed and back within a month; removed at the very moment of an arrival
