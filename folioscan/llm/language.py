@@ -250,7 +250,8 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     """Fit the machines on a bounded sample of labelled rows.
 
     Of each language at most ``per_language`` documents, those with the greatest
-    hash of their key, cut to ``max_chars`` (for fitting only). Labels may be
+    hash of their key, cut to ``max_chars`` (for fitting only); all sentences of
+    what is left are used, in full length. Labels may be
     wrong and documents mixed: after each round, sentences that the model gives
     another language are left out of the next.
     """
@@ -264,9 +265,9 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     # At most per_language rows of each of the five languages come to the driver; the engine cuts before the shuffle.
     sample = top_k(rows.withColumn("h", F.xxhash64("k")), per_language, ["c"], "h", "t")
     for r in sorted(sample.collect(), key=lambda r: (r.c, r["rank"])):
-        for _, _, han, tokens in probe.pieces(r.t)[:6]:
+        for _, _, han, tokens in probe.pieces(r.t):
             if bool(han) == (r.c == "zh") and len(tokens) >= 4:
-                samples.append((tokens[:60], r.c))
+                samples.append((tokens, r.c))
     if not samples:
         return model
     vectors = [model.features(t) for t, _ in samples]

@@ -354,6 +354,17 @@ def test_language_accuracy_held_out(spark, model, tiny):
     assert sum(r.label_code == r.lang for r in got) >= 0.93 * len(got) and len(got) > 500
 
 
+def test_fit_uses_the_whole_sampled_text(spark, monkeypatch):
+    """Not only the openings of documents and of their sentences."""
+    seen = []
+    monkeypatch.setattr(language.Model, "fit", lambda self, samples, vectors: seen.append(samples))
+    text = " ".join(f"This is the sentence of number {chr(97 + i) * 5} in a row of them." for i in range(12)) + " And " + "so on and " * 40 + "finally."
+    language.train(spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string"), rounds=1)
+    words = [w for t, _ in seen[0] for w in t]
+    assert all(any(chr(97 + i) * 5 in w for w in words) for i in range(12)) and any("finally" in w for w in words)
+    assert max(len(t) for t, _ in seen[0]) > 60
+
+
 def test_languages_edge_cases(spark, model):
     en = "We first treat the case where the category is normal and then the general case of every scheme. "
     fr = "Il suffit de montrer que le module est projectif au voisinage de chaque point. "
