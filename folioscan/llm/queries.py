@@ -34,6 +34,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _survivors(spark, sf_dir).select("group_id", "field_name", "item_id")
 
 
+def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a flat prior: accuracies and discounted votes alone decide."""
+    tables = (table(spark, sf_dir, name) for name in ("dup_groups", "retrieve_papers", "source_trust"))
+    best = survivors(*tables, trust_weight=0.0, words_weight=0.0)
+    return best.select("group_id", "field_name", "item_id", F.round("posterior", 6).alias("posterior"))
+
+
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of each group."""
     return survivor_records(_survivors(spark, sf_dir))
@@ -79,7 +86,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("stretches").alias("stretch_no", "s")).select("doc_id", "stretch_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_votes": p2_votes, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),

@@ -88,25 +88,69 @@ def test_survivors_against_brute_force(spark, small):
     assert got == want and len(got) > 100
 
 
+def test_votes_differ_from_the_stated_order(spark, small):
+    """With a flat prior the votes decide; they name other rows than the order does for some identifiers."""
+    votes = {(r.group_id, r.field_name) for r in queries.p2_votes(spark, small).collect()}
+    assert votes == {(r.group_id, r.field_name) for r in queries.p2_found(spark, small).collect()}
+
+
 def test_survivor_fusion(spark):
-    assert survivor.dependence(20, 15, 0, 0.6, 0.6) > 0.95
-    assert survivor.dependence(20, 0, 20, 0.8, 0.8) < 0.2
+    copied = survivor.log_copied(20, 15, 0, 0.6, 0.6)
+    assert survivor.dependence(copied) > 0.95
+    assert survivor.dependence(survivor.log_copied(20, 0, 20, 0.8, 0.8)) < 0.2
     one = survivor.vote(["a", "b"], {"a": 0.8, "b": 0.8}, {("a", "b"): 1.0})
     two = survivor.vote(["a", "b"], {"a": 0.8, "b": 0.8}, {})
     assert one < two
-    # two sources against the most trusted one: the votes win where the prior is flat
-    data = [(1, "T", None, None, None, None, "X", "10.1000/a", None, None), (2, "T", None, None, None, None, "Y", "10.1000/b", "2101.00001v2", None), (3, "T", None, None, None, None, "Z", "10.1000/b", "arXiv: 2101.00001", None)]
+    # Two sources, neither in the table of trust nor pooled, against a trusted one.
+    data = [
+        (1, "T", None, None, None, None, "X", "10.1000/a", None, None),
+        (2, "T", None, None, None, None, "Y", "10.1000/b", "2101.00001v2", None),
+        (3, "T", None, None, None, None, "Z", "10.1000/b", "arXiv: 2101.00001", None),
+    ]
     p = spark.createDataFrame(data, EMPTY_PAPERS)
     g = spark.createDataFrame([(1, i, "extra") for i in (1, 2, 3, 3)], "group_id bigint, item_id bigint, title string")
-    t = spark.createDataFrame([("doi", "x ", 9), ("doi", "Y", 2), ("doi", "Z", 1)], "field_name string, source string, trust int")
-    pick = lambda how: {r.field_name: r.item_id for r in survivor.survivors(g, p, t, how).collect()}
-    assert pick("ordered") == {"doi": 1, "arxiv_id": 2}
-    assert pick("votes")["doi"] == 2
+    t = spark.createDataFrame([("doi", "x ", 9), ("doi", "W", 2)], "field_name string, source string, trust int")
+    pick = lambda **k: {r.field_name: r for r in survivor.survivors(g, p, t, **k).collect()}
+    default, flat = pick(), pick(trust_weight=0.0, words_weight=0.0)
+    assert {f: r.item_id for f, r in default.items()} == {"doi": 1, "arxiv_id": 2}
+    assert flat["doi"].item_id == 2 and flat["doi"].posterior > 0.9
     assert survivor.survivors(g.limit(0), p, t).count() == 0
     assert survivor.survivors(g, p.limit(0), t).count() == 0
     assert survivor.survivor_records(survivor.survivors(g, p, t)).first().doi == "10.1000/a"
 
 
+def test_enough_votes_outweigh_trust(spark):
+    """The prior is finite: the posterior, not the order, decides."""
+    data = [(i, "T", None, None, None, None, f"s{i}", "10.1000/b" if i else "10.1000/a", None, None) for i in range(9)]
+    p = spark.createDataFrame(data, EMPTY_PAPERS)
+    g = spark.createDataFrame([(1, i) for i in range(9)], "group_id bigint, item_id bigint")
+    t = spark.createDataFrame([("doi", "s0", 9)], "field_name string, source string, trust int")
+    assert survivor.survivors(g, p, t).first().item_id == 1
+    assert survivor.survivors(g, p, t, trust_weight=100.0).first().item_id == 0
+
+
+def test_copies_count_less(spark):
+    """Two sources that share their false values elsewhere lose to one alone with a like accuracy."""
+    fusion = survivor.Fusion()
+    fusion.accuracy = {"doi": {"a": 0.6, "b": 0.6, "c": 0.9}}
+    kinds = [{"sources": ["a", "b"], "prior": 0.0, "n": 1}, {"sources": ["c"], "prior": 0.0, "n": 1}]
+    free = fusion.posteriors("doi", kinds)
+    fusion.copying, fusion._cache = {("a", "b"): 1.0}, {}
+    bound = fusion.posteriors("doi", kinds)
+    assert free[0] > free[1] and bound[0] < bound[1] and sum(bound) < 1
+
+
+def test_abstracts_are_one_value_by_their_whole_beginning(spark):
+    """A cut belongs to the text that goes on from it; texts that part after six words are two values."""
+    open_ = "we show that every flat cover of the ring"
+    texts = [open_, open_ + " splits", open_ + " splits twice in", open_ + " is affine", "we show", "we find that", "other", open_ + "s"]
+    got = {r.plain: r.key for r in survivor.value_keys(spark.createDataFrame([("s", t) for t in texts] + [("z", "we show")], "slot string, plain string").filter("slot = 's'")).collect()}
+    assert set(got) == set(texts)
+    assert got[open_ + " splits"] == got[open_ + " splits twice in"] != got[open_ + " is affine"]
+    assert got["we show"] == got[open_ + " splits twice in"]  # of several, the longest
+    assert len({got[t] for t in ("we find that", "other", open_ + "s", open_ + " is affine")}) == 4
+
+
 @pytest.mark.parametrize(
     ("value", "want"),
     [("https://doi.example/10.99999/Ab.1", "10.99999/ab.1"), ("DOI: 10.9999/x", "10.9999/x"), (" 10.9999/ x ", "10.9999/x"), ("10.99/x", None), ("10.9999/", None), ("11.9999/x", None), ("", None), (None, None), ("doi", None)],
