@@ -25,7 +25,7 @@ from folioscan.session import spread
 
 FAMILIES = {"germanic": ["de", "en"], "romance": ["es", "fr"], "sinitic": ["zh"]}
 LANGUAGES = sorted(x for f in FAMILIES.values() for x in f)
-# Names and codes under which a label names each language.
+# Names and codes under which a label names each language.
 NAMES = {
     "en": "en eng english anglais englisch inglés ingles inglese 英语 英文",
     "fr": "fr fre fra french français francais französisch franzoesisch francés frances 法语 法文",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ COMPARED = ["tokens", "part", "note", "question", "cut", "names", "et_al", "year
 STEM = 4  # letters of a word that an abbreviation keeps
 COMMON = 0.04  # stems in a larger share of titles say nothing about a work
 PERMUTATIONS = 8
+SURE = 0.9  # confidence from which a link may carry others
 PART = 500  # items of a block whose pairs with all of the block are one task's work
 
 
@@ -112,6 +114,7 @@ FEATURES = ["intercept", "title_most", "title_least", "title_all", "cut_cover",
 WEIGHT = {"the": 0.2, "a": 0.2, "an": 0.2, "of": 0.2, "on": 0.2, "and": 0.2, "for": 0.2, "in": 0.2, "with": 0.2}
 
 
+@lru_cache(maxsize=1 << 18)
 def _word_match(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -122,6 +125,11 @@ def _word_match(a: str, b: str) -> float:
     return 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _name_match(a: str, b: str) -> bool:
+    return a == b or (len(a) > 5 and near(a, b, 1))
+
+
 def cover(left: list[str], right: list[str], common: set[str]) -> tuple[float, float]:
     """Weighted share of each title's words that the other has, allowing for typos and abbreviations."""
     weight = lambda t: WEIGHT.get(t, 1.0 if t[:STEM] in common else 3.0)
@@ -155,7 +163,7 @@ def features(a: dict, b: dict, common: set[str]) -> list[float]:
     none = not p or not q
     same = 0.0
     if not none:
-        hits = sum(any(n == m or (len(n) > 5 and near(n, m, 1)) for m in q) for n in p)
+        hits = sum(any(_name_match(n, m) for m in q) for n in p)
         shorter = min(len(p), len(q))
         same = hits / (shorter if a["et_al"] or b["et_al"] or abs(len(p) - len(q)) > 0 and shorter > 0 else max(len(p), len(q)))
         same = min(1.0, same)
@@ -184,11 +192,26 @@ def _feature_batches(common: set[str]):
     return run
 
 
+def _worth_reading() -> Column:
+    """False for pairs of which one has no authors, that share no identifier nor opening of an abstract, and under half of their title stems.
+
+    The title is all such pairs could be told by; they are the bulk of the
+    candidates, so they are left before any Python sees them.
+    """
+    nameless = (F.size("names_a") == 0) | (F.size("names_b") == 0)
+    opening = lambda s: F.slice(f"abstract_{s}", 1, 5)
+    known = [(F.col(f"{c}_a") != "") & (F.col(f"{c}_a") == F.col(f"{c}_b")) for c in ("doi", "arxiv")]
+    said = (F.size(opening("a")) == 5) & (opening("a") == opening("b"))
+    shorter = F.least(F.size("stems_a"), F.size("stems_b"))
+    alike = F.size(F.array_intersect("stems_a", "stems_b")) * 2 >= shorter
+    return ~nameless | known[0] | known[1] | said | alike
+
+
 def compared(pairs: DataFrame, items: DataFrame, common: list[str]) -> DataFrame:
-    """``item_id_a, item_id_b, x``: the features of each pair."""
+    """``item_id_a, item_id_b, x``: the features of each pair that is worth reading."""
     for s in "ab":
-        pairs = pairs.join(items.select(F.col("item_id").alias(f"item_id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in COMPARED]), f"item_id_{s}")
-    return pairs.mapInPandas(_feature_batches(set(common)), "item_id_a bigint, item_id_b bigint, x array<double>")
+        pairs = pairs.join(items.select(F.col("item_id").alias(f"item_id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ["stems", *COMPARED]]), f"item_id_{s}")
+    return pairs.filter(_worth_reading()).drop("stems_a", "stems_b").mapInPandas(_feature_batches(set(common)), "item_id_a bigint, item_id_b bigint, x array<double>")
 
 
 class Classifier:
@@ -253,7 +276,7 @@ def fit(items: DataFrame, pairs: DataFrame, groups: DataFrame | None, common: li
     """Fit on at most ``most`` candidate pairs: those with the smallest hash of their items.
 
     Items of ``groups`` give labels (same group or not); the other pairs get weak
-    labels by rule or none.
+    labels by rule or none. Labels of both kinds are needed.
     """
     sample = pairs.orderBy(F.xxhash64("item_id_a", "item_id_b"), "item_id_a", "item_id_b").limit(most)
     if groups is not None:
@@ -265,39 +288,15 @@ def fit(items: DataFrame, pairs: DataFrame, groups: DataFrame | None, common: li
     sample = cut(sample, "sample")
     rows = compared(sample.select("item_id_a", "item_id_b"), items, common).join(sample, ["item_id_a", "item_id_b"]).orderBy(F.xxhash64("item_id_a", "item_id_b"), "item_id_a").collect()
     labelled = [(r.x, y) for r in rows if (y := weak_label(list(r.x), None if r.g_a is None or r.g_b is None else r.g_a == r.g_b)) is not None]
-    model = Classifier()
     if len({y for _, y in labelled}) < 2:
-        # Too little data to learn from: the signs are known, so a plain score stands in.
-        plain = {"intercept": -9, "title_least": 7, "cut_cover": 4, "names_same": 4, "names_other": -6, "doi_same": 5, "doi_other": -3, "arxiv_same": 5, "arxiv_other": -3, "abstract_same": 4, "abstract_other": -5, "part_other": -8, "note_other": -8, "question_other": -8, "year_far": -3}
-        model.weights = np.array([plain.get(f, 0.0) for f in FEATURES])
-        return model
-    return model.fit(np.array([list(x) for x, _ in labelled], dtype=float), np.array([y for _, y in labelled]))
+        raise ValueError("the candidate pairs give labels of one kind only or none; hand in a fitted model")
+    return Classifier().fit(np.array([list(x) for x, _ in labelled], dtype=float), np.array([y for _, y in labelled]))
 
 
-def match_entities(papers: DataFrame, groups: DataFrame | None = None, threshold: float = 0.5, exclude_groups: bool = True, train_pairs: int = 20_000, closing: bool = True) -> DataFrame:
-    """Pairs of items of different sources that are one work: ``item_id_a, item_id_b, confidence``.
+LINKS = "head_a bigint, head_b bigint, confidence double, clash boolean"
 
-    ``groups(group_id, item_id)`` are known duplicates: they label pairs for the
-    fit and, with ``exclude_groups``, their items are left out of the result.
-    Items alike in all that is compared form one class; classes are matched and
-    then resolved into items. ``closing`` links two items that are surely one with
-    a third, over and over until no link is added. Cases: items without title or authors can still
-    meet by identifier or abstract; a blank source is a source of its own;
-    repeated rows count once; empty tables give no rows.
-    """
-    spark = papers.sparkSession
-    items = cut(prepare(papers), "items")
-    common = common_stems(items)
-    classed = items.withColumn("class", _slot_of(["source", *COMPARED]))
-    heads = cut(classed.groupBy("class").agg(F.min("item_id").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
-    members = classed.select("item_id", "source", "class").join(heads.select("class", "head"), "class").select("item_id", "source", "head")
-    if groups is not None and exclude_groups:
-        left_out = groups.select("item_id").filter("item_id IS NOT NULL").distinct()
-        members = members.join(left_out, "item_id", "left_anti")
-    members = cut(members, "members")
-    firsts = cut(items.join(heads.select(F.col("head").alias("item_id")), "item_id", "left_semi"), "firsts")
-    pairs = cut(candidate_pairs(firsts, common), "pairs")
-    model = fit(firsts, pairs, groups, common, train_pairs)
+
+def _scorer(spark, model: Classifier):
     shared = spark.sparkContext.broadcast(model)
     calm = [FEATURES.index(f) for f in ("names_other", "part_other", "note_other", "question_other")]
 
@@ -306,30 +305,99 @@ def match_entities(papers: DataFrame, groups: DataFrame | None = None, threshold
             if not len(batch):
                 continue
             x = np.array([np.asarray(v) for v in batch["x"]])
+            heads = {"head_a": batch["item_id_a"].to_numpy(), "head_b": batch["item_id_b"].to_numpy()}
             clash = (x[:, calm] > 0).any(axis=1)
-            yield pd.DataFrame({"head_a": batch["item_id_a"].to_numpy(), "head_b": batch["item_id_b"].to_numpy(), "confidence": shared.value.probability(x), "clash": clash})
+            yield pd.DataFrame({**heads, "confidence": shared.value.probability(x), "clash": clash})
+
+    return score
+
 
-    scores = "head_a bigint, head_b bigint, confidence double, clash boolean"
-    links = cut(compared(pairs, firsts, common).mapInPandas(score, scores).filter(F.col("confidence") >= threshold).drop("clash"), "links")
+def _closed(links: DataFrame, firsts: DataFrame, common: list[str], score) -> DataFrame:
+    """Adds links between heads that are surely one with a common third and contradict in nothing, until none is new."""
     tried = links.select("head_a", "head_b")
-    while closing:
-        # A work under two titles: who is surely one with a common third, and contradicts in nothing, is one as well.
-        # Each round compares pairs that were not compared before, until it adds no link.
-        sure = links.filter(F.col("confidence") >= 0.9)
-        both = sure.select(F.col("head_a").alias("x"), F.col("head_b").alias("y"), "confidence").unionByName(sure.select(F.col("head_b").alias("x"), F.col("head_a").alias("y"), "confidence"))
+    while True:
+        sure = links.filter(F.col("confidence") >= SURE)
+        ends = lambda a, b: sure.select(F.col(f"head_{a}").alias("x"), F.col(f"head_{b}").alias("y"), "confidence")
+        both = ends("a", "b").unionByName(ends("b", "a"))
         met = both.alias("p").join(both.alias("q"), F.col("p.x") == F.col("q.x")).filter("p.y < q.y")
-        met = met.groupBy(F.col("p.y").alias("head_a"), F.col("q.y").alias("head_b")).agg(F.max(F.col("p.confidence") * F.col("q.confidence")).alias("c"))
+        confidence = F.max(F.col("p.confidence") * F.col("q.confidence")).alias("c")
+        met = met.groupBy(F.col("p.y").alias("head_a"), F.col("q.y").alias("head_b")).agg(confidence)
         met = cut(met.join(tried, ["head_a", "head_b"], "left_anti"), "met")
-        judged = compared(met.select(F.col("head_a").alias("item_id_a"), F.col("head_b").alias("item_id_b")), firsts, common).mapInPandas(score, scores).filter("NOT clash").select("head_a", "head_b")
+        pairs = met.select(F.col("head_a").alias("item_id_a"), F.col("head_b").alias("item_id_b"))
+        judged = compared(pairs, firsts, common).mapInPandas(score, LINKS).filter("NOT clash").select("head_a", "head_b")
         added = cut(judged.join(met, ["head_a", "head_b"]).select("head_a", "head_b", F.col("c").alias("confidence")), "added")
         if added.isEmpty():
-            break
+            return links
         links, tried = links.unionByName(added), tried.unionByName(met.select("head_a", "head_b"))
-    resolved = links
+
+
+def match_classes(
+    papers: DataFrame,
+    groups: DataFrame | None = None,
+    threshold: float = 0.5,
+    exclude_groups: bool = True,
+    train_pairs: int = 20_000,
+    closing: bool = True,
+    model: Classifier | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(links ``head_a, head_b, confidence``, members ``item_id, source, head``).
+
+    Items of one source alike in all that is compared form a class, named by its
+    smallest item; links stand between classes, so that copies cost nothing.
+    Arguments and cases as in :func:`match_entities`.
+    """
+    items = cut(prepare(papers), "items")
+    common = common_stems(items)
+    classed = items.withColumn("class", _slot_of(["source", *COMPARED]))
+    heads = cut(classed.groupBy("class").agg(F.min("item_id").alias("head")), "classes")
+    members = classed.select("item_id", "source", "class").join(heads, "class").select("item_id", "source", "head")
+    if groups is not None and exclude_groups:
+        left_out = groups.select("item_id").filter("item_id IS NOT NULL").distinct()
+        members = members.join(left_out, "item_id", "left_anti")
+    members = cut(members, "members")
+    firsts = cut(items.join(heads.select(F.col("head").alias("item_id")), "item_id", "left_semi"), "firsts")
+    pairs = cut(candidate_pairs(firsts, common), "pairs")
+    if pairs.isEmpty():
+        return papers.sparkSession.createDataFrame([], "head_a bigint, head_b bigint, confidence double"), members
+    score = _scorer(papers.sparkSession, model or fit(firsts, pairs, groups, common, train_pairs))
+    found = compared(pairs, firsts, common).mapInPandas(score, LINKS).filter(F.col("confidence") >= threshold)
+    links = cut(found.drop("clash"), "links")
+    return (_closed(links, firsts, common, score) if closing else links), members
+
+
+def match_entities(papers: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:
+    """Pairs of items of different sources that are one work: ``item_id_a, item_id_b, confidence``.
+
+    ``groups(group_id, item_id)`` are known duplicates: they label pairs for the
+    fit and, with ``exclude_groups``, their items are left out of the result.
+    Items alike in all that is compared form one class; classes are matched and
+    then resolved into items. ``closing`` links two items that are surely one with
+    a third, over and over until no link is added. ``model`` is a fitted
+    classifier to be used as it is. Cases: items without title or authors can still
+    meet by identifier or abstract; a blank source is a source of its own;
+    repeated rows count once; empty tables and tables without any candidate pair
+    give no rows; candidate pairs that give no labels of both kinds are an error
+    unless a model is handed in.
+    """
+    links, members = match_classes(papers, groups, **options)
+    for s in "ab":
+        side = members.select(F.col("head").alias(f"head_{s}"), F.col("item_id").alias(f"id_{s}"), F.col("source").alias(f"source_{s}"))
+        links = links.join(side, f"head_{s}")
+    apart = links.filter("source_a <> source_b")
+    return apart.select(F.least("id_a", "id_b").alias("item_id_a"), F.greatest("id_a", "id_b").alias("item_id_b"), "confidence")
+
+
+def match_members(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``item_id, class_id, n_links``: each item's class and the number of classes of other sources it is linked to."""
+    sources = members.groupBy("head").agg(F.first("source").alias("source"))  # a class has one source
+    ends = links.select("head_a", "head_b")
     for s in "ab":
-        resolved = resolved.join(members.select(F.col("head").alias(f"head_{s}"), F.col("item_id").alias(f"id_{s}"), F.col("source").alias(f"source_{s}")), f"head_{s}")
-    resolved = resolved.filter("source_a <> source_b")
-    return resolved.select(F.least("id_a", "id_b").alias("item_id_a"), F.greatest("id_a", "id_b").alias("item_id_b"), "confidence")
+        ends = ends.join(sources.select(F.col("head").alias(f"head_{s}"), F.col("source").alias(f"source_{s}")), f"head_{s}")
+    ends = ends.filter("source_a <> source_b")
+    sides = ends.select(F.col("head_a").alias("head")).unionByName(ends.select(F.col("head_b").alias("head")))
+    counted = sides.groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
+    joined = members.select("item_id", "head").join(counted, "head", "left")
+    return joined.select("item_id", F.col("head").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-__all__ = ["match_entities", "prepare", "candidate_pairs"]
+__all__ = ["match_entities", "match_classes", "match_members", "prepare", "candidate_pairs"]

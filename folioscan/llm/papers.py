@@ -5,16 +5,23 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BLANK = re.compile(r"[\s​-‏⁠﻿­]+")
 _DOI_LEAD = re.compile(r"^(?:https?://[^/]*/|(?:dx\.)?doi\.[a-z.]+/|(?:urn:)?doi:)+(?=.)")
 _ARXIV_LEAD = re.compile(r"^(?:https?://\S*/|[a-z.]+\.[a-z]+/(?:abs|pdf)/|arxiv:)+")
 _DOI = re.compile(r"10\.\d{4,9}/.+")
+_WORDLIKE = re.compile(r"\w")
+_LETTERS = re.compile(r"[^\W_]+")
 _ARXIV = re.compile(r"(\d\d(?:0[1-9]|1[0-2])\.\d{4,5})(v\d+)?")
 _TAGS_LINE = re.compile(r"^\W*tags?\s*:.*\bscore\s*:", re.I | re.S)
-# Words that stand-ins for an abstract are made of.
-STANDIN = set("abstract abstracts summary description text no not none null nil na n a tba tbd tbc to be announced added determined unavailable available missing provided given supplied by the publisher author authors this is for item record currently yet pending coming soon unknown empty withheld omitted see full here found".split())
+# Words that stand-ins for an abstract are made of (a list of this project, not of a standard).
+STANDIN = set(
+    """abstract abstracts summary description text no not none null nil na n a tba tbd tbc to be announced added
+    determined unavailable available missing provided given supplied by the publisher author authors this is for item
+    record currently yet pending coming soon unknown empty withheld omitted see full here found""".split()
+)
 NOTICE = re.compile(r"^(?:record created by|this (?:content|item|record|article|document) is (?:available|only|not)|the metadata of this|please sign in|access to this|you do not have access|sign in to|subscribe|copyright|\(c\)|©)", re.I)
 
 
@@ -42,11 +49,11 @@ def plain_words(text: str | None) -> list[str]:
     """Words without mark-up; a cut's dots are no word."""
     bare = _TAG.sub(" ", html.unescape(text or ""))
     bare = re.sub(r"(?:\.{3,}|…)\s*$", "", bare.strip())
-    return [w for w in bare.split() if re.search(r"\w", w) or w in ("=", "+", "-")]
+    return [w for w in bare.split() if w.isalnum() or _WORDLIKE.search(w) or w in ("=", "+", "-")]
 
 
 def letters(text: str | None) -> list[str]:
-    return re.findall(r"[^\W_]+", fold(_TAG.sub(" ", html.unescape(text or ""))))
+    return _LETTERS.findall(fold(_TAG.sub(" ", html.unescape(text or ""))))
 
 
 def repeats_title(words: list[str], titles: list[list[str]]) -> bool:
@@ -81,7 +88,7 @@ def abstract(summary: str | None, titles: list[list[str]] = ()) -> list[str]:
 
 # --- titles and names, for matching
 
-# Words that open a note on another paper, and number words of parts.
+# Words that open a note on another paper, and number words of parts (lists of this project, not of a standard).
 NOTES = ("addendum", "addenda", "erratum", "errata", "corrigendum", "corrigenda", "correction", "corrections", "retraction", "comment", "comments", "reply", "response", "supplement")
 PARTS = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "first": 1, "second": 2, "third": 3}
 ROMAN = ("ii", "iii", "iv", "vi", "vii", "viii", "ix")
@@ -111,6 +118,19 @@ def near(a: str, b: str, most: int) -> bool:
     return old[-1] <= most
 
 
+@lru_cache(maxsize=1 << 16)
+def _mended(token: str) -> str:
+    """Digits and letter pairs that scans mistake for letters."""
+    token = re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", token)
+    return re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", token).replace("rn", "m")
+
+
+@lru_cache(maxsize=1 << 16)
+def _note(token: str) -> str:
+    """The opening word of a note that the token is, misspelled or not, or an empty text."""
+    return next((n for n in NOTES if near(token, n.replace("rn", "m"), 2 if len(n) > 6 else 1)), "")
+
+
 def read_title(title: str | None) -> dict:
     """Tokens and marks of a title: ``tokens, part, note, question, cut``."""
     raw = _TAG.sub(" ", html.unescape(title or ""))
@@ -120,8 +140,7 @@ def read_title(title: str | None) -> dict:
     cut = bool(re.search(r"(?:\.{3,}|…)\W*$", raw))
     question = bool(_QUESTION.search(raw))
     raw = re.sub(r":?\s*a question\W*$", "", raw, flags=re.I)
-    tokens = re.findall(r"[^\W_]+", fold(raw).replace("-", " ").replace("&", " and "))
-    tokens = [re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", t)).replace("rn", "m") for t in tokens]
+    tokens = [_mended(t) for t in _LETTERS.findall(fold(raw).replace("-", " ").replace("&", " and "))]
     part, tail = 0, tokens[-4:]
     at = next((i for i, t in enumerate(tail) if i and t in ("part", "pt", "prat", "patr") and len(tokens) > 3), -1)
     if at > 0:  # the words may have been swapped with their neighbours
@@ -134,7 +153,7 @@ def read_title(title: str | None) -> dict:
     elif len(tokens) > 2 and tokens[-1] in ("i", "v", "x"):
         part, tokens = PARTS[tokens[-1]], tokens[:-1]
     note = ""
-    if tokens and (hit := next((n for n in NOTES if near(tokens[0], n.replace("rn", "m"), 2 if len(n) > 6 else 1)), "")):
+    if tokens and (hit := _note(tokens[0])):
         if re.match(r"^\W*\w+\s*(?::|to\b|on\b|for\b)", fold(raw)):
             note, tokens = hit, tokens[1:]
             if tokens and tokens[0] in ("to", "on", "for"):

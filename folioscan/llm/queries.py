@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.contamination import leaked_items
 from folioscan.llm.distinctive import term_relevance
 from folioscan.llm.language import detect_languages, mislabelled
-from folioscan.llm.matching import match_entities
+from folioscan.llm.matching import match_classes, match_entities, match_members
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.survivor import survivor_records, survivors
 from folioscan.session import table
@@ -56,6 +56,11 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select("item_id_a", "item_id_b", F.round("confidence", 6).alias("confidence"))
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with its class of items alike and the number of classes of other sources that are the same paper."""
+    return match_members(*match_classes(table(spark, sf_dir, "retrieve_papers"), table(spark, sf_dir, "dup_groups")))
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_entities(table(spark, sf_dir, "retrieve_papers"), table(spark, sf_dir, "dup_groups"))
 
@@ -86,7 +91,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("stretches").alias("stretch_no", "s")).select("doc_id", "stretch_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_votes": p2_votes, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_votes": p2_votes, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),

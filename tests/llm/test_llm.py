@@ -192,7 +192,16 @@ def test_matching_finds_known_groups(spark, small):
     assert len(wrong) <= 0.05 * len(true)
 
 
-def test_matching_edge_cases(spark):
+@pytest.fixture(scope="module")
+def matcher(spark, small):
+    """A classifier fitted on the given groups and weak labels of the small tables."""
+    p, g = spark.read.parquet(f"{small}/retrieve_papers.parquet"), spark.read.parquet(f"{small}/dup_groups.parquet")
+    items = matching.prepare(p)
+    common = matching.common_stems(items)
+    return matching.fit(items, matching.candidate_pairs(items, common), g, common)
+
+
+def test_matching_edge_cases(spark, matcher):
     z = (None,) * 10
     base = ("On the flat cover of Zubulant rings", "Ada Lovelast, Ben Cantork", "2020", None, None)
     data = [
@@ -207,11 +216,24 @@ def test_matching_edge_cases(spark):
         z,
     ]
     df = spark.createDataFrame(data, EMPTY_PAPERS).withColumn("confidence", F.lit(1))
-    got = {(r.item_id_a, r.item_id_b) for r in matching.match_entities(df).collect()}
+    got = {(r.item_id_a, r.item_id_b) for r in matching.match_entities(df, model=matcher).collect()}
     assert got == {(1, 2), (2, 5)}
     listed = spark.createDataFrame([(9, 2)], "group_id bigint, item_id bigint")
-    assert matching.match_entities(df, listed).count() == 0
+    assert matching.match_entities(df, listed, model=matcher).count() == 0
     assert matching.match_entities(df.limit(0)).count() == 0
+    links, members = matching.match_classes(df, model=matcher)
+    sized = {r.item_id: (r.class_id, r.n_links) for r in matching.match_members(links, members).collect()}
+    assert sized == {1: (1, 1), 2: (2, 1), 3: (3, 0), 4: (4, 0), 5: (1, 1), 6: (6, 0), 7: (7, 0)}
+    with pytest.raises(ValueError, match="labels"):  # nothing stands in for a classifier
+        matching.match_entities(df.filter("item_id IN (1, 2)"))
+
+
+@pytest.mark.parametrize("n", [20, 50, 51, 500])
+def test_a_pair_is_found_in_a_block_of_any_size(spark, n):
+    """Two renditions of one work among ``n`` items of one surname and one common stem."""
+    data = [(i, f"Topology {'' if i < 2 else chr(97 + i % 26) * 4 + chr(97 + i // 26) * 4}", "A. Wang", None, None, None, f"s{i}", None, None, None) for i in range(n)]
+    items = matching.prepare(spark.createDataFrame(data, EMPTY_PAPERS))
+    assert matching.candidate_pairs(items, []).filter("item_id_a = 0 AND item_id_b = 1").count() == 1
 
 
 @pytest.mark.parametrize("part", [7, 500])
