@@ -1,11 +1,13 @@
 """Evaluation passages that leaked into a training corpus.
 
 The test items form a BM25 inverted index with block maxima. Every window of
-every document queries it; a window's score for an item can only reach the
-item's threshold if the windows holds enough of the item's weight, so whole
-blocks of items are skipped by the sums of their block maxima. The threshold of
-an item is the least score that a real case can have, so retrieval loses none.
-What is retrieved is then checked word by word.
+every document queries it. The threshold of an item is the least score that a
+real case can have, so retrieval loses none, and all weights are divided by it:
+what reaches 1 is retrieved. As that bar does not rise, the pivots of block-max
+WAND are known beforehand: they are the blocks of items whose block maxima over
+the window's terms sum to 1. Blocks are the order of the posting lists, so one
+pass over the lists' blocks finds all pivots, and only postings inside them are
+scored. What is retrieved is then checked word by word.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,7 +59,8 @@ def words(text: str | None) -> list[str]:
 class ItemIndex:
     """Block-max BM25 index of test items, with weights divided by each item's threshold.
 
-    Small by construction: callers hand in at most ``max_items`` items a pass.
+    Small by construction: all of it is as large as the items' own words, of
+    which callers hand in a bounded number a pass.
     """
 
     def __init__(self, items: list[tuple[int, list[str]]], block: int = 16, k1: float = 1.2, b: float = 0.75):
@@ -89,13 +93,12 @@ class ItemIndex:
         self.longest = max(lengths, default=1)
         # Hashes of all runs of RUN words, sorted, with their items; a hit is compared word by word.
         self.powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(RUN)], dtype=np.uint64)
-        hashed = [(h, k, i) for k, t in enumerate(self.texts) for i, h in enumerate(self._hashes(t).tolist())]
-        hashed.sort()
-        self.run_hash = np.array([h for h, _, _ in hashed], dtype=np.uint64)
-        self.run_at = [(k, i) for _, k, i in hashed]
-        self.members = np.zeros((n, len(self.vocab) + 1), dtype=np.int8)
-        for k, t in enumerate(self.texts):
-            self.members[k, t] = 1
+        made = [self._hashes(t) for t in self.texts]
+        hashes = np.concatenate(made) if made else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.run_hash = hashes[order]
+        self.run_item = np.repeat(np.arange(n), [len(h) for h in made]).astype(np.int32)[order]
+        self.run_start = np.concatenate([np.arange(len(h)) for h in made] or [np.zeros(0)]).astype(np.int32)[order]
         self.least_ordered = np.array(self.ordered) * (1 - 1e-9)
         self.need = np.array([int(np.ceil(SHARE * x - 1e-9)) for x in lengths], dtype=np.int64)
         self.most = np.array([int(STRETCH * x + 1e-9) for x in lengths], dtype=np.int64)
@@ -166,49 +169,73 @@ class ItemIndex:
         for i in np.nonzero(self.run_hash[np.minimum(low, len(self.run_hash) - 1)] == hashes)[0].tolist():
             j = int(low[i])
             while j < len(self.run_hash) and self.run_hash[j] == hashes[i]:
-                k, at = self.run_at[j]
+                k, at = int(self.run_item[j]), int(self.run_start[j])
                 if k not in got and np.array_equal(self.texts[k][at : at + RUN], doc[i : i + RUN]):
                     got.add(k)
                 j += 1
         return got
 
-    def _dense(self, doc: np.ndarray, items: np.ndarray) -> list[int]:
-        """Those items of which some stretch of the document holds as many words as the ordered share needs, in any order."""
-        inside = self.members[np.ix_(items, doc)]
-        enough = np.nonzero(inside.sum(axis=1, dtype=np.int32) >= self.need[items])[0]
-        out = []
-        for row in enough.tolist():
-            t, k = np.concatenate(([0], np.cumsum(inside[row], dtype=np.int32))), int(items[row])
-            m = min(int(self.most[k]), len(doc))
-            if (t[m:] - t[: len(t) - m]).max() >= self.need[k]:
-                out.append(k)
-        return out
+    def _hits(self, doc: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of the document's words that belong to one of ``items``, by item and place."""
+        at = self._gather(self.start, doc)
+        wanted = np.zeros(len(self.ids), dtype=bool)
+        wanted[items] = True
+        item = self.item[at]
+        kept = wanted[item]
+        place = np.repeat(np.arange(len(doc)), self.start[doc + 1] - self.start[doc])[kept]
+        order = np.lexsort((place, item[kept]))
+        return item[kept][order], place[order]
+
+    def _dense(self, doc: np.ndarray, items: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Those items of which some stretch of the document holds as many words as the ordered share needs, with their places."""
+        item, place = self._hits(doc, items)
+        need, most = self.need[item], self.most[item]
+        # The word that completes the need: as many hits of the item further on, and within its stretch.
+        last = np.arange(len(item)) + need - 1
+        inside = last < len(item)
+        last = np.minimum(last, max(len(item) - 1, 0))
+        full = inside & (item[last] == item) & (place[last] - place < most)
+        return [(int(k), place[item == k]) for k in np.unique(item[full])]
 
-    def _in_order(self, doc: np.ndarray, k: int) -> bool:
-        """At least SHARE of the item's words in their order within STRETCH times its length."""
+    def _in_order(self, doc: np.ndarray, k: int, places: np.ndarray) -> int:
+        """Most words of the item found in their order within STRETCH times its length, or 0 below SHARE of them."""
         text = self.texts[k]
         need, most = int(self.need[k]), int(self.most[k])
-        inside = self.members[k][doc].astype(np.int32)
-        total = np.concatenate(([0], np.cumsum(inside)))
-        ends = np.minimum(np.arange(len(doc)) + most, len(doc))
-        starts = np.nonzero((total[ends] - total[:-1] >= need) & (inside > 0))[0]
         masks: dict[int, int] = {}
         for i, t in enumerate(text.tolist()):
             masks[t] = masks.get(t, 0) | 1 << i
         full = (1 << len(text)) - 1
-        for s in starts.tolist():
+        ends = np.searchsorted(places, places + most)  # only the item's own words count, so others are not looked at
+        words_ = [masks[t] for t in doc[places].tolist()]
+        best = 0
+        for s in np.nonzero(ends - np.arange(len(places)) >= need)[0].tolist():
             row = full  # bit-parallel longest common subsequence
-            for t in doc[s : s + most].tolist():
-                m = masks.get(t)
-                if m:
-                    u = row & m
-                    row = (row + u | row - u) & full
-            if len(text) - row.bit_count() >= need:
-                return True
-        return False
+            for m in words_[s : int(ends[s])]:
+                u = row & m
+                row = (row + u | row - u) & full
+            best = max(best, len(text) - row.bit_count())
+        return best if best >= need else 0
+
+    def _longest_run(self, doc: np.ndarray, k: int) -> int:
+        """Most consecutive words that the document and the item share."""
+        text, best = self.texts[k], 0
+        row = np.zeros(len(text) + 1, dtype=np.int64)
+        for t in doc.tolist():
+            if t:
+                row[1:] = np.where(text == t, row[:-1] + 1, 0)
+                best = max(best, int(row.max()))
+            else:
+                row[:] = 0
+        return best
+
+    def overlap(self, text: str | None, k: int) -> tuple[int, int, int]:
+        """Words of the ``k``-th item, its longest run in the text, and its most words in order (0 below the share)."""
+        doc = self.encode(text)
+        placed = dict(self._dense(doc, np.array([k])))
+        return len(self.texts[k]), self._longest_run(doc, k), self._in_order(doc, k, placed[k]) if k in placed else 0
 
     def found(self, text: str | None) -> list[int]:
-        """The items that the text holds."""
+        """The places in :attr:`ids` of the items that the text holds."""
         doc = self.encode(text)
         if np.count_nonzero(doc) < min(RUN, self.need.min(initial=RUN)):
             return []
@@ -224,43 +251,65 @@ class ItemIndex:
         got = self._with_runs(doc) & retrieved
         rest = np.array(sorted(ordered - got), dtype=np.int64)
         if len(rest):
-            got |= {k for k in self._dense(doc, rest) if self._in_order(doc, k)}
-        return sorted(self.ids[k] for k in got)
+            got |= {k for k, places in self._dense(doc, rest) if self._in_order(doc, k, places)}
+        return sorted(got)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", max_items: int = 20_000) -> DataFrame:
+def leaked_items(
+    documents: DataFrame,
+    items: DataFrame,
+    doc_key: str = "doc_id",
+    item_key: str = "item_id",
+    text: str = "text",
+    max_items: int = 20_000,
+    max_words: int = 2_000_000,
+    measure: bool = False,
+) -> DataFrame:
     """``doc_key, item_key`` for each document row that holds a test item, whole or in part.
 
-    The index of at most ``max_items`` items is sent to the executors; a larger
-    test set takes one pass over the documents for each part. Cases: null and
-    empty texts hold nothing and, as items, are found nowhere; items with fewer
-    than 12 words are found by the ordered share alone; repeated documents and
-    items give one row; empty tables give no rows; other columns are ignored.
+    With ``measure`` also ``n_words`` of the item, its ``longest_run`` in the
+    document and its most words ``in_order`` (0 below the share), the greatest
+    over rows of one document. An index holds at most ``max_items`` items and
+    ``max_words`` words (an item that alone has more is an index of its own),
+    some 200 MB, and is sent to the executors; a larger test set takes one pass
+    over the documents for each index. Cases: null and empty texts hold nothing
+    and, as items, are found nowhere; items with fewer than 12 words are found
+    by the ordered share alone; repeated documents and items give one row; of
+    differing texts under one item key any may be found; empty tables give no
+    rows; other columns are ignored.
     """
     spark = documents.sparkSession
     rows = items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).dropDuplicates()
-    docs = spread(documents.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull() & F.col("d").isNotNull()))
-    schema = f"{doc_key} bigint, {item_key} bigint"
-    listed: list = []
-    result = None
+    docs = spread(documents.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL AND d IS NOT NULL"))
+    more = ["n_words", "longest_run", "in_order"] if measure else []
+    schema = ", ".join([f"{doc_key} bigint", f"{item_key} bigint", *[f"{c} int" for c in more]])
 
     def pass_over(part: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(ItemIndex([(k, words(t)) for k, t in part if k is not None]))
+        shared = spark.sparkContext.broadcast(ItemIndex(part))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = shared.value
             for batch in batches:
-                pairs = [(d, k) for d, t in zip(batch["d"].tolist(), batch["t"].tolist()) for k in index.found(t)]
-                yield pd.DataFrame(pairs, columns=[doc_key, item_key]).astype("int64")
+                found = [(d, k, t) for d, t in zip(batch["d"].tolist(), batch["t"].tolist()) for k in index.found(t)]
+                out = [(d, index.ids[k], *(index.overlap(t, k) if measure else ())) for d, k, t in found]
+                yield pd.DataFrame(out, columns=[doc_key, item_key, *more]).astype("int64")
 
         return docs.mapInPandas(find, schema)
 
+    parts: list[DataFrame] = []
+    listed: list[tuple[int, list[str]]] = []
+    size = 0
     for row in rows.toLocalIterator():
-        listed.append((row.k, row.t))
-        if len(listed) == max_items:
-            part = pass_over(listed)
-            result, listed = part if result is None else result.unionByName(part), []
-    if listed or result is None:
-        part = pass_over(listed)
-        result = part if result is None else result.unionByName(part)
-    return result.distinct()
+        split = words(row.t) if row.k is not None else []
+        if listed and (len(listed) == max_items or size + len(split) > max_words):
+            parts.append(pass_over(listed))
+            listed, size = [], 0
+        if split:
+            listed.append((row.k, split))
+            size += len(split)
+    if listed or not parts:
+        parts.append(pass_over(listed))
+    result = reduce(DataFrame.unionByName, parts)
+    if not measure:
+        return result.distinct()
+    return result.groupBy(doc_key, item_key).agg(*[F.max(c).alias(c) for c in more])

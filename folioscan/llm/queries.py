@@ -70,6 +70,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with how much of each passage a document holds: its longest run and its words in order."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), measure=True)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected documents of every mix."""
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -91,7 +96,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("stretches").alias("stretch_no", "s")).select("doc_id", "stretch_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_votes": p2_votes, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_votes": p2_votes, "p2_records": p2_records, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stretches": p8_stretches}
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),

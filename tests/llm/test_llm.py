@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import pickle
 import random
 import re
 
@@ -325,6 +326,40 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+def test_leaks_of_items_of_any_length(spark):
+    """Items of 1 to 60 words, documents with parts of them, some with words lost or put in."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(120)]
+    items = [(k, " ".join(rng.choices(vocab, k=k + 1))) for k in range(60)]
+    docs = []
+    for d in range(150):
+        body = rng.choices([f"z{i}" for i in range(50)] + vocab[:20], k=rng.randint(0, 60))
+        for k in rng.sample(range(60), 2):
+            w = items[k][1].split()
+            lost = rng.choice([0.0, 0.1, 0.2, 0.25])
+            kept = [x for x in w if rng.random() >= lost]
+            for _ in range(rng.choice([0, 0, len(w) // 8, len(w) // 4])):
+                kept.insert(rng.randint(0, len(kept)), "zz")
+            body += kept + ["zy"] * rng.randint(0, 3)
+        docs.append((d, " ".join(body)))
+    want = {(d, k) for d, t in docs for k in plain_leaks(t, items)}
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in contamination.leaked_items(*frames).collect()} == want and len(want) > 100
+    parts = contamination.leaked_items(*frames, max_words=200, measure=True).collect()
+    assert {(r.doc_id, r.item_id) for r in parts} == want
+    assert all(r.longest_run >= 12 or r.in_order >= 0.8 * r.n_words for r in parts)
+
+
+def test_leak_index_is_sparse():
+    """20,000 items over 150,000 words make an index that can be sent to executors."""
+    rng = random.Random(2)
+    items = [(k, [f"w{rng.randrange(150_000)}" for _ in range(50)]) for k in range(20_000)]
+    index = contamination.ItemIndex(items)
+    assert len(pickle.dumps(index)) < 200 << 20
+    text = " ".join(["z"] * 50 + items[777][1] + ["z"] * 50 + items[5][1][:14] + ["z"] * 9)
+    assert index.found(text) == [5, 777]
+
+
 def test_leaks_of_just_the_share(spark):
     """Documents that hold exactly the share of a short passage and none of its other words."""
     docs = [(1, "w1 w2 w4 w5"), (2, "w1 w2 w5"), (3, "v0 v1 v3 v4 v5 v6 v8 v9"), (4, "v0 v1 v3 v4 v5 v6 v8")]
