@@ -88,8 +88,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
         weights = [(r.source, float(r.target_weight or 0), int(r.max_repeats or 0)) for r in rows]
         end = _closing_time([(w, max(0, m) * totals.get(s, (0, 0))[0]) for s, w, m in weights], budget)
         whole = sum(w for _, w, _ in weights if w > 0) or 1.0
-        plan += [(mix, s, w, m, budget, end, w / whole, totals.get(s, (0, 0))[0]) for s, w, m in weights]
-    goals = spark.createDataFrame(plan, "mix_name string, source string, weight double, max_repeats int, budget double, closing double, target_share double, supply bigint")
+        plan += [(mix, s, w, m, budget, end, w / whole, *totals.get(s, (0, 0))) for s, w, m in weights]
+    columns = "mix_name string, source string, weight double, max_repeats int, budget double, closing double, target_share double"
+    goals = spark.createDataFrame(plan, f"{columns}, supply bigint, n_docs bigint")
     # The order within a source and its running sums, the same for all mixes.
     most = max([n for _, n in totals.values()], default=0)
     buckets = max(1, -(-most // rows_per_bucket))
@@ -106,7 +107,13 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     after = copies.filter("finish_time > closing").groupBy("mix_name", "source").agg(F.min("finish_time").alias("f")).groupBy("mix_name").agg(F.max("f").alias("limit"))
     late = copies.join(F.broadcast(after), "mix_name").filter("finish_time > closing AND finish_time <= limit").select(*early.columns)
     ranked = early.unionByName(late)
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("finish_time") / F.col("closing") * 4 * buckets), F.lit(4 * buckets)).cast("int"))
+    # Buckets of about equal rows: by the hash order, a source of n rows and T tokens finishes n w / T of them a unit of time,
+    # until its last repeat. The rows of all sources up to a time follow from that without looking at any.
+    flow = F.struct((F.col("n_docs") * F.col("weight") / F.col("supply")).alias("rate"), (F.col("n_docs") * F.col("max_repeats")).alias("most"))
+    flows = goals.filter("weight > 0 AND max_repeats > 0 AND supply > 0").groupBy("mix_name").agg(F.collect_list(flow).alias("flows"))
+    rows_before = F.aggregate("flows", F.lit(0.0), lambda n, f: n + F.least(f["rate"] * F.col("finish_time"), f["most"].cast("double")))
+    ranked = ranked.join(F.broadcast(flows), "mix_name")
+    ranked = ranked.withColumn("bucket", F.floor(rows_before / rows_per_bucket).cast("int")).drop("flows")
     ordered = running_sum(ranked, ["mix_name"], "bucket", ["finish_time", "source", "doc_id", "repeat_no"], "n_tokens", "end_token")
     chosen = cut(ordered.filter("end_token <= budget").select("mix_name", "doc_id", "source", F.col("repeat_no").cast("int").alias("repeat_no"), "n_tokens", "finish_time", "end_token"), "mix")
     used = chosen.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"), F.max("repeat_no").alias("max_used"))

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every current record with its score."""
-    return term_relevance(table(spark, sf_dir, "docs_fts")).select("id", "term", "tf", "df", F.round("score", 6).alias("score"))
+    return term_relevance(table(spark, sf_dir, "docs_fts"), min_letters=1).select("id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "
 
 _P1 = r"""
 WITH cur AS (SELECT id, arg_max({'t': title, 'c': content}, indexed_at) AS r FROM docs_fts WHERE id IS NOT NULL GROUP BY id),
-docs AS (SELECT id, regexp_extract_all(regexp_replace(strip_accents(lower(concat_ws(chr(10), r.t, r.c))), '\p{M}+', '', 'g'), '\p{L}{4,}') AS w FROM cur),
+docs AS (SELECT id, regexp_extract_all(regexp_replace(strip_accents(lower(concat_ws(chr(10), r.t, r.c))), '\p{M}+', '', 'g'), '\p{L}{LETTERS,}') AS w FROM cur),
 tf AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM docs) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT count(*)::DOUBLE AS n, sum(len(w)) / count(*)::DOUBLE AS a FROM docs)
@@ -108,6 +108,6 @@ n AS (SELECT count(*)::DOUBLE AS n, sum(len(w)) / count(*)::DOUBLE AS a FROM doc
 _SCORE = "round(ln(1 + (n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / a)), 6)"
 
 SQL = {
-    "p1_found": _P1 + "SELECT id, term FROM tf JOIN df USING (term) WHERE tf >= 5 AND df BETWEEN 2 AND 8",
-    "p1_scores": _P1 + f"SELECT id, term, tf, df, {_SCORE} AS score FROM tf JOIN df USING (term), n",
+    "p1_found": _P1.replace("LETTERS", "4") + "SELECT id, term FROM tf JOIN df USING (term) WHERE tf >= 5 AND df BETWEEN 2 AND 8",
+    "p1_scores": _P1.replace("LETTERS", "1") + f"SELECT id, term, tf, df, {_SCORE} AS score FROM tf JOIN df USING (term), n",
 }
