@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.contamination import leaked_items
 from folioscan.llm.distinctive import term_relevance
-from folioscan.llm.language import detect_languages, mislabelled
+from folioscan.llm.language import UNKNOWN, detect_languages, mislabelled
 from folioscan.llm.matching import match_classes, match_entities, match_members
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.survivor import survivor_records, survivors
@@ -87,7 +87,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents that are mixed, unlabelled or labelled wrongly."""
-    return mislabelled(detect_languages(table(spark, sf_dir, "documents"))).select("doc_id", "lang_code")
+    found = mislabelled(detect_languages(table(spark, sf_dir, "documents")))
+    return found.filter(F.col("lang_code") != UNKNOWN).select("doc_id", "lang_code")
 
 
 def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:

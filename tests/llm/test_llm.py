@@ -477,6 +477,37 @@ def test_language_accuracy_held_out(spark, small):
     assert sum(r.label_code == r.lang for r in got) >= 0.93 * len(got) and len(got) > 200
 
 
+def test_unknown_languages(spark, model):
+    """A language that no machine was fitted for is not forced into one; places count in the text as given."""
+    en = "We first treat the case where the category is normal and then the general case of every scheme. "
+    pl = "W tej pracy dowodzimy \u017ce ka\u017cdy w\u0142a\u015bciwy morfizm schemat\u00f3w zachowuje sp\u00f3jno\u015b\u0107 snop\u00f3w oraz badamy niekt\u00f3re konsekwencje tego twierdzenia. "
+    ru = "\u0412 \u044d\u0442\u043e\u0439 \u0440\u0430\u0431\u043e\u0442\u0435 \u043c\u044b \u0434\u043e\u043a\u0430\u0437\u044b\u0432\u0430\u0435\u043c \u0447\u0442\u043e \u043c\u043e\u0440\u0444\u0438\u0437\u043c \u0441\u043e\u0445\u0440\u0430\u043d\u044f\u0435\u0442 \u043f\u0443\u0447\u043a\u0438. "
+    data = [(1, pl * 2, None), (2, ru * 4, "en"), (3, "a &amp;&lt; b &eacute;t&eacute;. " + en * 2, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in language.detect_languages(df, model).collect()}
+    assert [x.lang for x in got[1].languages] == [x.lang for x in got[2].languages] == ["und"]
+    last = got[3].stretches[-1]
+    assert last.lang == "en" and data[2][1][last.start : last.end].rstrip().endswith("scheme.")
+
+
+def test_places():
+    places = language.Places()
+    text = "a &amp; b caf\u00c3\u00a9 c"
+    clean = places.mend(places.mend(text, language._ENTITY, language._entity), language._MOJIBAKE, language._unbroken)
+    assert clean == "a & b caf\u00e9 c"
+    assert [text[places.original(i)] for i in (0, 4, 6, 11)] == ["a", "b", "c", "c"]
+    assert places.original(len(clean)) == len(text)
+
+
+def test_languages_are_a_parameter(spark, small):
+    """Fitted for two languages only, Chinese is of no language."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    two = language.train(docs, families={"germanic": ["de", "en"]})
+    assert two.languages == ["de", "en"]
+    got = language.detect_languages(docs, two).selectExpr("explode(languages) AS l").select("l.lang").distinct().collect()
+    assert {r.lang for r in got} >= {"de", "en", "und"}
+
+
 def test_fit_uses_the_whole_sampled_text(spark, monkeypatch):
     """Not only the openings of documents and of their sentences."""
     seen = []
