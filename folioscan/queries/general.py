@@ -65,4 +65,22 @@ FROM refs JOIN months ON ts < e LEFT JOIN live ON live.m = months.m AND live.tag
 WHERE coalesce(live.k, 0) = 0 GROUP BY ref_table, source_tag, target_tag
 """
 
-SQL = {"p3_found": _P3, "p4_found": _P4}
+_P4_REPORT = f"""
+WITH RECURSIVE refs0 AS (SELECT 'ref_edges' AS ref_table, {_CLEAN.format('source_tag')} AS source_tag, {_CLEAN.format('target_tag')} AS target_tag, loaded_at FROM ref_edges
+  UNION ALL SELECT 'corpus', {_CLEAN.format('tag')}, {_CLEAN.format('t')}, loaded_at FROM (SELECT tag, loaded_at, unnest(outgoing_refs) AS t FROM corpus)),
+refs AS (SELECT ref_table, source_tag, target_tag, min(loaded_at) AS ts FROM refs0 WHERE source_tag IS NOT NULL AND target_tag IS NOT NULL GROUP BY ALL),
+ev AS (SELECT {_CLEAN.format('tag')} AS tag, loaded_at AS ts, 1 AS k FROM corpus UNION ALL SELECT {_CLEAN.format('tag')}, deleted_at AS ts, 0 FROM deleted_tags),
+months AS (SELECT i AS m, make_timestamp(2024 + i // 12, i % 12 + 1, 1, 0, 0, 0) AS e FROM range(1, 13) r(i)),
+live AS (SELECT m, tag FROM months JOIN ev ON ts < e GROUP BY ALL HAVING arg_max(k, (ts, k)) = 1),
+refmonths AS (SELECT ref_table, source_tag, target_tag, months.m FROM refs JOIN months ON ts < e),
+direct AS (SELECT r.* FROM refmonths r ANTI JOIN live ON live.m = r.m AND live.tag = r.target_tag),
+edges AS (SELECT source_tag, target_tag, min(ts) AS ts FROM refs GROUP BY ALL),
+edgemonths AS (SELECT source_tag, target_tag, m FROM edges JOIN months ON ts < e),
+taint(tag, m) AS (SELECT DISTINCT source_tag, m FROM direct UNION SELECT s.source_tag, s.m FROM taint JOIN edgemonths s ON s.target_tag = taint.tag AND s.m = taint.m),
+through AS (SELECT r.* FROM refmonths r SEMI JOIN taint ON taint.tag = r.target_tag AND taint.m = r.m),
+inherited AS (SELECT t.* FROM through t ANTI JOIN direct d ON d.ref_table = t.ref_table AND d.source_tag = t.source_tag AND d.target_tag = t.target_tag AND d.m = t.m),
+both_ AS (SELECT *, 'direct' AS kind FROM direct UNION ALL SELECT *, 'inherited' FROM inherited)
+SELECT ref_table, printf('2024-%02d', m) AS month, kind, count(*) AS n_refs, count(DISTINCT target_tag) AS n_targets FROM both_ GROUP BY ref_table, m, kind
+"""
+
+SQL = {"p3_found": _P3, "p4_found": _P4, "p4_report": _P4_REPORT}

@@ -3,7 +3,8 @@ import inspect
 
 import pytest
 
-from folioscan.operators.orphans import orphan_references, orphan_report
+from folioscan.operators import orphans
+from folioscan.operators.orphans import Calendar, orphan_references, orphan_report
 from tests.conftest import rows
 
 REFS = "ref_table string, source_tag string, target_tag string, at timestamp_ntz"
@@ -72,4 +73,31 @@ def test_hot_target_and_empty(spark):
     assert sum(k == "inherited" for k, _, _ in got) == 50
     assert run(spark, [], [], []) == {}
     report = orphan_report(orphan_references(spark.createDataFrame(refs[:2], REFS), spark.createDataFrame([], EVENTS), spark.createDataFrame([], EVENTS)))
-    assert rows(report) == [("t", "2024-01", "direct", 2, 1)]
+    assert rows(report) == [("t", f"2024-{m:02d}", "direct", 2, 1) for m in range(1, 13)]
+
+
+def test_report_counts_every_month(spark):
+    """One reference from May on, one of two months: both stand in each of their months."""
+    refs = spark.createDataFrame([("t", "A", "X", d(5)), ("t", "B", "X", d(6)), ("t", "C", "Y", d(1))], REFS)
+    arrived = spark.createDataFrame([("Y", d(3))], EVENTS)
+    got = rows(orphan_report(orphan_references(refs, arrived, arrived.limit(0))))
+    want = [("t", "2024-01", "direct", 1, 1), ("t", "2024-02", "direct", 1, 1), ("t", "2024-05", "direct", 1, 1)]
+    assert got == want + [("t", f"2024-{m:02d}", "direct", 2, 1) for m in range(6, 13)]
+
+
+def test_other_calendars(spark):
+    """Three years from a July on; what is known is compacted on the way."""
+    calendar = Calendar("2023-07", 36)
+    chain = [("t", f"S{i}", f"S{i + 1}", dt.datetime(2025, 1, 5)) for i in range(6)]
+    refs = spark.createDataFrame(chain, REFS)
+    arrived = spark.createDataFrame([(f"S{i}", dt.datetime(2023, 1, 1)) for i in range(6)], EVENTS)
+    got = {r.source_tag: (r.first_month, r.months, r.kind) for r in orphan_references(refs, arrived, arrived.limit(0), calendar).collect()}
+    assert got == {f"S{i}": ("2025-01", 18, "direct" if i == 5 else "inherited") for i in range(6)}
+    whole, orphans.COMPACT = orphans.COMPACT, 2
+    try:
+        again = orphan_references(refs, arrived, arrived.limit(0), calendar).collect()
+    finally:
+        orphans.COMPACT = whole
+    assert {r.source_tag: (r.first_month, r.months, r.kind) for r in again} == got
+    with pytest.raises(ValueError, match="62"):
+        Calendar(months=63)
