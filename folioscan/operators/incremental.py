@@ -1,25 +1,34 @@
 """Keyed content-hash state for runs that process only new or changed records.
 
-A state lives in a folder: ``versions/<n>/changed=<bool>`` holds one row per
-key after the ``n``-th committed run, split by whether that run changed it, and
-``CURRENT`` names the committed version. A run writes the next version in full
-and then renames a new ``CURRENT`` over the old one. Whatever dies before the
-rename leaves the old state and the old output in force; a repeated run writes
-the same folder again. So no record is skipped and none is given twice.
+A state lives in a folder. ``parts/<name>`` holds the rows one run put into the
+state: the keys it found new or refetched, each with a mark whether its content
+changed. ``commits/<n>`` is a small document that names the run and the parts
+that make up the state after it. A run writes its part under a name of its own
+and then puts down ``commits/<n>``, by a rename that fails if that commit is
+there already. Whatever dies before the rename leaves the old state and the old
+output in force and a part that nobody names; of two writers of one version one
+fails. So no record is skipped and none is given twice. This asks for a file
+system whose rename is atomic (HDFS, local disks); object stores need a committer
+that offers it.
+
+The work of a run goes with the keys it brings: of the state only those keys are
+shuffled, and only they are written. Every ``COMPACT`` runs the parts are merged
+into one.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscan.session import cut, scratch_path
 
-STATE = T.StructType([T.StructField("key", T.StringType()), T.StructField("version", T.LongType()), T.StructField("arrived", T.TimestampNTZType()), T.StructField("hash", T.StringType()), T.StructField("changed", T.BooleanType())])
+STATE = "key string, version bigint, arrived timestamp_ntz, hash string, changed boolean"
+COMPACT = 16  # runs between two mergers of the parts of a state
 
 
 def content_hash(columns: list[str]) -> Column:
@@ -28,80 +37,112 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.length(t), F.lit(":"), t) for t in texts]), 256)
 
 
+class Swap:
+    """Small documents that are put down in one step, on any file system the engine knows."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = jvm.org.apache.hadoop.fs.Path
+        root = self.path(folder)
+        self.files = root.getFileSystem(conf)
+        # FileContext renames in one step, over an existing file or not; FileSystem does neither.
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        self._ways = {}
+        for way in (rename.OVERWRITE, rename.NONE):
+            self._ways[way.name()] = spark.sparkContext._gateway.new_array(rename, 1)
+            self._ways[way.name()][0] = way
+
+    def put(self, text: str, target: str, over: bool = True) -> None:
+        """Write aside and rename; without ``over`` an existing target is an error and stays as it is."""
+        fresh = self.path(f"{target}.{uuid.uuid4().hex}.next")
+        stream = self.files.create(fresh, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            self._context.rename(fresh, self.path(target), self._ways["OVERWRITE" if over else "NONE"])
+        except Exception:
+            self.files.delete(fresh, False)
+            raise
+
+    def read(self, target: str) -> str:
+        stream = self.files.open(self.path(target))
+        try:
+            size = self.files.getFileStatus(self.path(target)).getLen()
+            return bytes(stream.readNBytes(int(size))).decode()
+        finally:
+            stream.close()
+
+
 class RunState:
     """The versioned state of one incremental consumer."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        # FileContext renames over an existing file in one step; FileSystem does not.
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        self._overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        self._overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._swap = Swap(spark, self.path)
 
     def committed(self) -> dict:
-        """``version``, ``run`` and the history of the last committed run; version 0 before any."""
-        current = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(current):
-            return {"version": 0, "run": None, "runs": []}
-        stream = self._fs.open(current)
-        try:
-            size = self._fs.getFileStatus(current).getLen()
-            return json.loads(bytes(stream.readNBytes(int(size))).decode())
-        finally:
-            stream.close()
+        """``version``, ``run``, the ``runs`` committed so far with their parts, and the ``parts`` of the state; version 0 before any."""
+        folder = self._swap.path(f"{self.path}/commits")
+        if not self._swap.files.exists(folder):
+            return {"version": 0, "run": None, "runs": [], "outputs": [], "parts": []}
+        names = [f.getPath().getName() for f in self._swap.files.listStatus(folder)]
+        last = max(n for n in names if n.isdecimal())
+        return json.loads(self._swap.read(f"{self.path}/commits/{last}"))
+
+    def _parts(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(*[f"{self.path}/parts/{n}" for n in names])
 
-    def _swap(self, state: dict) -> None:
-        fresh = self._path(f"{self.path}/CURRENT.next")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
-        self._context.rename(fresh, self._path(f"{self.path}/CURRENT"), self._overwrite)
+    def read(self) -> DataFrame:
+        """The state: ``key, version, arrived, hash``, one row per key."""
+        return self._newest(self._parts(self.committed()["parts"])).select("key", "was.*")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.committed()["version"] if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/versions/{version}")
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.max(F.struct("version", "arrived", "hash")).alias("was"))
 
     def run(self, run_id: int, newest: DataFrame, fail_before_swap: bool = False) -> None:
         """Take in ``newest(key, version, arrived, hash)``, one row per key, and commit as ``run_id``.
 
-        A run that is already committed changes nothing. ``fail_before_swap`` is
-        for tests: it dies at the worst moment.
+        A run that is already committed changes nothing. A commit that another
+        writer has made meanwhile is an error. ``fail_before_swap`` is for tests:
+        it dies at the worst moment.
         """
         state = self.committed()
         if run_id in state["runs"]:
             return
-        old = self.read(state["version"]).select("key", F.struct("version", "arrived", "hash").alias("was"))
-        new = newest.select("key", F.struct("version", "arrived", "hash").alias("got"))
-        joined = old.join(new, "key", "full_outer")
-        best = F.when(F.col("was").isNull() | (F.col("got") > F.col("was")), F.col("got")).otherwise(F.col("was"))
-        rows = joined.select("key", best.alias("now"), F.col("was.hash").alias("old")).select("key", "now.version", "now.arrived", "now.hash", (F.col("old").isNull() | (F.col("now.hash") != F.col("old"))).alias("changed"))
-        following = state["version"] + 1
-        rows.write.mode("overwrite").partitionBy("changed").parquet(f"{self.path}/versions/{following}")
+        parts = state["parts"]
+        if len(parts) > COMPACT:
+            merged = f"merged-{uuid.uuid4().hex}"
+            rows = self._newest(self._parts(parts)).select("key", "was.*", F.lit(False).alias("changed"))
+            rows.write.parquet(f"{self.path}/parts/{merged}")
+            parts = [merged]
+        # Of the state only the keys at hand are read on; old and new rows of a key meet in one aggregate.
+        content = F.struct("version", "arrived", "hash")
+        new = newest.select("key", F.lit(None).cast("struct<version:bigint,arrived:timestamp_ntz,hash:string>").alias("was"), content.alias("got"))
+        old = self._parts(parts).join(newest.select("key"), "key", "left_semi").select("key", content.alias("was"), F.lit(None).alias("got"))
+        both = (new.union(old) if parts else new).groupBy("key").agg(F.max("was").alias("was"), F.max("got").alias("got"))
+        taken = both.filter(F.col("was").isNull() | (F.col("got") > F.col("was")))
+        changed = F.col("was").isNull() | (F.col("got.hash") != F.col("was.hash"))
+        name = f"run-{uuid.uuid4().hex}"
+        taken.select("key", "got.*", changed.alias("changed")).write.parquet(f"{self.path}/parts/{name}")
         if fail_before_swap:
             raise RuntimeError("died before the swap")
-        self._swap({"version": following, "run": run_id, "runs": [*state["runs"], run_id]})
-        if state["version"]:
-            # Only what an older version did not change is dropped; its changes are the output of its run.
-            self._fs.delete(self._path(f"{self.path}/versions/{state['version']}/changed=false"), True)
+        version = state["version"] + 1
+        following = {"version": version, "run": run_id, "runs": [*state["runs"], run_id], "outputs": [*state["outputs"], name], "parts": [*parts, name]}
+        self._swap.put(json.dumps(following), f"{self.path}/commits/{version:09d}", over=False)
 
     def changes(self) -> DataFrame:
         """``run_id, key`` of all committed runs."""
-        runs = self.committed()["runs"]
-        parts = []
-        for n, run_id in enumerate(runs, 1):
-            folder = f"{self.path}/versions/{n}/changed=true"
-            if self._fs.exists(self._path(folder)):
-                parts.append((folder, run_id))
-        if not parts:
+        state = self.committed()
+        if not state["runs"]:
             return self.spark.createDataFrame([], "run_id bigint, key string")
-        rows = self.spark.read.schema(T.StructType(STATE.fields[:-1])).parquet(*[p for p, _ in parts])
-        number = F.regexp_extract(F.input_file_name(), r"/versions/(\d+)/changed=true/", 1).cast("int")
-        return rows.select(F.element_at(F.array(*[F.lit(r).cast("bigint") for r in runs]), number).alias("run_id"), "key")
+        rows = self._parts(state["outputs"]).filter("changed")
+        part = F.regexp_extract(F.input_file_name(), r"/parts/([^/]+)/[^/]*$", 1)
+        runs = F.create_map(*[F.lit(x) for pair in zip(state["outputs"], state["runs"]) for x in pair])
+        return rows.select(F.element_at(runs, part).cast("bigint").alias("run_id"), "key")
 
 
 def epoch_seconds(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Observation
 
-from folioscan.operators.incremental import RunState
+from folioscan.operators.incremental import Swap
 from folioscan.sources.readers import path_exists
 
 
@@ -22,12 +22,7 @@ def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> int:
 
 def write_json(spark: SparkSession, obj, path: str, indent: int = 2) -> None:
     """A small document, written aside and renamed over the old one."""
-    swap = RunState(spark, path.rsplit("/", 1)[0])
-    fresh = swap._path(f"{path}.next")
-    stream = swap._fs.create(fresh, True)
-    stream.write(bytearray((json.dumps(obj, ensure_ascii=False, indent=indent) + "\n").encode()))
-    stream.close()
-    swap._context.rename(fresh, swap._path(path), swap._overwrite)
+    Swap(spark, path.rsplit("/", 1)[0]).put(json.dumps(obj, ensure_ascii=False, indent=indent) + "\n", path)
 
 
 def read_json(spark: SparkSession, path: str, default=None):

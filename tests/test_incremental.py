@@ -71,3 +71,30 @@ def test_crash_before_swap_loses_and_repeats_nothing(spark):
     again.run(2, newest(spark, ("A", 3, "never")))  # committed already
     assert rows(again.changes()) == [(1, "A"), (1, "B"), (2, "A"), (2, "C")]
     assert {(r.key, r.hash) for r in again.read().collect()} == {("A", "z"), ("C", "c")} | {("B", "y")}
+
+
+def test_two_writers_of_one_version(spark, monkeypatch):
+    """Both read version 1; the second to commit fails and leaves nothing behind."""
+    state, other = RunState(spark, scratch_path(spark, "state")), None
+    state.run(1, newest(spark, ("A", 1, "x")))
+    seen, other = state.committed(), RunState(spark, state.path)
+    state.run(2, newest(spark, ("A", 2, "y")))
+    monkeypatch.setattr(other, "committed", lambda: seen)
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.run(3, newest(spark, ("B", 1, "z")))
+    assert rows(state.changes()) == [(1, "A"), (2, "A")]
+    assert {(r.key, r.hash) for r in state.read().collect()} == {("A", "y")}
+
+
+def test_a_run_writes_what_it_brings(spark, monkeypatch):
+    """Parts hold the keys of their run; merging them changes neither state nor output."""
+    monkeypatch.setattr("folioscan.operators.incremental.COMPACT", 2)
+    state = RunState(spark, scratch_path(spark, "state"))
+    state.run(0, newest(spark, *[(f"K{i}", 1, "x") for i in range(50)]))
+    for n in range(1, 6):
+        state.run(n, newest(spark, (f"K{n}", 1 + n, "y"), ("K9", 1 + n, "x")))
+    committed = state.committed()
+    assert [state._parts([p]).count() for p in committed["outputs"]] == [50, 2, 2, 2, 2, 2]
+    assert len(committed["parts"]) <= 4
+    assert rows(state.changes().filter("run_id > 0")) == [(n, f"K{n}") for n in range(1, 6)]
+    assert state.read().count() == 50 and state.read().filter("hash = 'y'").count() == 5
