@@ -33,6 +33,22 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how
     return hot_left.join(hot_right, key, how).unionByName(cold_left.join(right, key, how))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread_by: str, parts: int = 64) -> DataFrame:
+    """Inner join of ``left`` and ``right``, both with any number of rows of a key, that no hot key holds up.
+
+    Rows of ``left`` with a hot key are dealt to ``parts`` tasks by the hash of
+    ``spread_by``; rows of ``right`` with such a key go to each of them. Only the
+    hot keys themselves, at most ``1 / HOT_SHARE``, are broadcast.
+    """
+    marked = F.broadcast(hot.select(key).distinct().withColumn("__hot", F.lit(True)))
+    is_hot = F.col("__hot").isNotNull()
+    dealt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    everywhere = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    one = left.join(marked, key, "left").withColumn("__part", dealt).drop("__hot")
+    many = right.join(marked, key, "left").withColumn("__part", F.explode(everywhere)).drop("__hot")
+    return one.join(many, [key, "__part"]).drop("__part")
+
+
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Inclusive running sum of ``value`` per ``group`` along (``bucket``, ``order``).
 

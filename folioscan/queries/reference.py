@@ -13,13 +13,13 @@ from folioscan.operators import corpus as C
 from folioscan.operators import evaluation as V
 from folioscan.operators import graph as G
 from folioscan.operators.incremental import epoch_seconds
-from folioscan.operators.lexical import LexicalIndex, apply_changes, bm25, build_index
+from folioscan.operators.lexical import apply_changes, bm25, build_index
 from folioscan.operators.merging import merge_by_key, ranked_items
 from folioscan.operators.ranking import fuse, keep_last, top_k
 from folioscan.operators.vector import densify, embed, hash_vectors, vector_top_k
-from folioscan.plans.hybrid import HybridParameters, hybrid_search
+from folioscan.plans.hybrid import HybridParameters, SearchIndex, Stages, hybrid_search, search_stages
 from folioscan.plans.tuning import evaluate, with_embeddings
-from folioscan.session import cut, table
+from folioscan.session import cut, scratch_path, table
 from folioscan.streaming.upserts import windowed_counts
 
 NOW, NOW_YEAR = 1_735_689_600, 2025
@@ -47,7 +47,7 @@ def current_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN = r"nullif(upper(regexp_replace({0}, '(?i)^(?:[\s\p{{Z}}\p{{C}}]+|/tag/|#)+|[\s\p{{Z}}\p{{C}}]+$', '', 'g')), '')"
-SQL_CUR = f"""cur AS (SELECT tag AS id, r.* FROM (SELECT tag, arg_max({{'full_label': full_label, 'chapter_key': chapter_key, 'env_type': env_type, 'reference': reference, 'title': title, 'statement_text': statement_text, 'proof_text': proof_text, 'statement_html': statement_html, 'full_html': full_html, 'refs': refs}}, (f, loaded_at, full_label, chapter_key, env_type, reference, title, statement_text, proof_text, normalized_text)) AS r
+SQL_CUR = f"""cur AS (SELECT tag AS id, r.* FROM (SELECT tag, arg_max({{'full_label': full_label, 'chapter_key': chapter_key, 'env_type': env_type, 'reference': reference, 'title': title, 'statement_text': statement_text, 'proof_text': proof_text, 'normalized_text': normalized_text, 'statement_html': statement_html, 'full_html': full_html, 'refs': refs}}, (f, loaded_at, full_label, chapter_key, env_type, reference, title, statement_text, proof_text, normalized_text)) AS r
   FROM (SELECT {_CLEAN.format('tag')} AS tag, coalesce(full_label, '') AS full_label, coalesce(chapter_key, '') AS chapter_key, coalesce(env_type, '') AS env_type, coalesce(reference, '') AS reference, coalesce(title, '') AS title, coalesce(statement_text, '') AS statement_text, coalesce(proof_text, '') AS proof_text, coalesce(normalized_text, '') AS normalized_text, coalesce(statement_html, '') AS statement_html, coalesce(full_html, '') AS full_html, coalesce(outgoing_refs, []) AS refs, coalesce(CASE WHEN abs(fetched_at_utc) >= 100000000000 THEN fetched_at_utc // 1000 ELSE fetched_at_utc END, 0) AS f, loaded_at FROM corpus)
   WHERE tag IS NOT NULL GROUP BY tag))"""
 
@@ -377,38 +377,125 @@ def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cut(edges, "edges")
     best = top_k(edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score")).withColumn("qid", F.lit(0)), 20, ["qid"], "score")
     seeds = best.select("qid", "id", (1.0 / (1 + 0.2 * (F.col("rank") - 1))).alias("signal"))
-    return G.expand(seeds, edges).select("id", F.round("graph_score", 6).alias("graph_score"))
+    return G.expand(seeds, G.GraphIndex.build(nodes, edges)).select("id", F.round("graph_score", 6).alias("graph_score"))
 
 
-# --- hybrid search, on hash embeddings
+# --- hybrid search
 
 
 DIM = 1536  # the default of the hash embeddings, as in the reference's build
+BUILT: dict[tuple, SearchIndex] = {}  # search indexes built in this session, by application, folder and kind of vectors
 
 
-def _search_tables(spark: SparkSession, sf_dir: str, dim: int = DIM) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame]:
+def _given_vectors(spark: SparkSession, sf_dir: str, keys: DataFrame, key: str) -> DataFrame:
+    """Vectors of the table of embeddings for any keys: a key's digest picks the row."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("bigint")
+    return keys.select(key, F.pmod(digest, F.lit(rows.count())).alias("vec_id")).join(rows, "vec_id").select(key, "embedding")
+
+
+def search_index(spark: SparkSession, sf_dir: str, kind: str) -> SearchIndex:
+    """Builds all that searches read and stores it: current corpus, lexical index, graph, and vectors that are given or hashed."""
     from folioscan.plans.pipeline import lexical_input
 
     corpus = cut(current_corpus(spark, sf_dir).withColumn("content_hash", X.sha256(F.col("statement_text"))), "corpus")
-    vectors = cut(embed(corpus, "id", X.lines(F.col("statement_text"), F.col("normalized_text")), "hash", dim=dim), "vectors")
-    built = build_index(lexical_input(corpus))
-    index = LexicalIndex(cut(built.postings, "postings"), cut(built.docs, "lexdocs"))
+    if kind == "hash":
+        vectors = embed(corpus, "id", X.lines(F.col("statement_text"), F.col("normalized_text")), "hash", dim=DIM)
+    else:
+        vectors = _given_vectors(spark, sf_dir, corpus, "id")
     edges = cut(G.clean_edges(corpus, G.reference_edges(corpus)), "edges")
-    return corpus, index, vectors, edges
+    path = scratch_path(spark, "search")
+    SearchIndex(corpus, build_index(lexical_input(corpus)), vectors, G.GraphIndex.build(corpus, edges)).write(path)
+    return SearchIndex.read(spark, path)
 
 
-@query()
+def _stored(spark: SparkSession, sf_dir: str, kind: str) -> SearchIndex:
+    """The index of this session's first search over the folder; later ones read it."""
+    key = spark.sparkContext.applicationId, sf_dir, kind
+    if key not in BUILT:
+        BUILT[key] = search_index(spark, sf_dir, kind)
+    return BUILT[key]
+
+
+def _given_stages(spark: SparkSession, sf_dir: str) -> Stages:
+    queries = asked(spark)
+    return search_stages(queries.join(_given_vectors(spark, sf_dir, queries, "qid"), "qid"), _stored(spark, sf_dir, "given"))
+
+
+_VECTOR_OF = "embeddings JOIN (SELECT count(*) AS n FROM embeddings) c ON vec_id = ('0x' || substr(md5({0}::VARCHAR), 1, 7))::BIGINT % n"
+_NORM = "CASE WHEN max({0}) OVER w - min({0}) OVER w <= 1e-12 THEN 1.0 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
+_BOOST = """(CASE WHEN tag_hint <> '' AND cur.id = tag_hint THEN 10 ELSE 0 END) + (CASE WHEN prefer_env <> '' AND env_type = prefer_env THEN 0.75 ELSE 0 END)
++ (CASE WHEN wants_proof THEN (CASE WHEN trim(proof_text) <> '' THEN 0.45 WHEN env_type IN ('theorem', 'lemma', 'proposition') THEN 0.10 ELSE 0 END) + (CASE WHEN trim(statement_text) <> '' THEN 0.05 ELSE 0 END)
+ELSE (CASE WHEN trim(statement_text) <> '' THEN 0.12 ELSE 0 END) - (CASE WHEN trim(proof_text) <> '' THEN 0.08 ELSE 0 END) END)
++ (CASE WHEN reference_hint <> '' AND reference = reference_hint THEN 0.6 ELSE 0 END)
++ (CASE WHEN chapter_key <> '' AND (contains(lower(query), lower(chapter_key)) OR contains(translate(lower(query), '_-', '  '), replace(lower(chapter_key), '-', ' '))) THEN 0.35 ELSE 0 END)
++ least(0.05 * len(list_filter(list_distinct(tokens), lambda x: length(x) >= 3 AND contains(replace(lower(title || ' ' || full_label), '-', ' '), x))), 0.35)"""
+_EXPANDED = f"concat_ws(' ', query, nullif(array_to_string(list_filter([{', '.join(f"CASE WHEN contains(query, '{k}') THEN '{v}' END" for k, v in X.QUERY_EXPANSIONS)}], lambda x: x IS NOT NULL), ' '), ''))"
+_SEARCH = f"""WITH RECURSIVE {SQL_CUR}, {SQL_ASKED}, {{intent}},
+ask AS MATERIALIZED (SELECT *, regexp_extract_all(lower({_EXPANDED}), '[A-Za-z0-9_]+') AS tokens FROM intent),
+qv AS (SELECT qid, embedding AS e FROM asked JOIN ({{q}}) USING (qid)),
+dv AS (SELECT id, embedding AS d FROM cur JOIN ({{d}}) USING (id)),
+v0 AS MATERIALIZED (SELECT qid, id, round(list_dot_product(e::DOUBLE[], d::DOUBLE[]), 9) AS s FROM qv, dv),
+v AS (SELECT qid, id, s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM v0) WHERE r <= 120),
+lex AS (SELECT id, {_UNI.format('title')} AS t, {_UNI.format("concat_ws(chr(10), nullif(title, ''), nullif(statement_text, ''), nullif(proof_text, ''), nullif(normalized_text, ''))")} AS c FROM cur),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(t, c)) AS term FROM lex) GROUP BY ALL), dl AS (SELECT id, len(t) + len(c) AS dl FROM lex),
+n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM dl), q AS (SELECT qid, unnest(tokens) AS term FROM ask), qn AS (SELECT qid, count(*) AS m FROM q GROUP BY qid), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b0 AS MATERIALIZED (SELECT qid, id, count(*) AS got, round(sum(greatest(CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END, 0) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / a))), 9) AS s FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), n GROUP BY qid, id),
+b AS (SELECT qid, id, s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM b0 JOIN qn USING (qid) WHERE got = m) WHERE r <= 120),
+pool AS MATERIALIZED (SELECT qid, id, max(vs) AS vs, max(bs) AS bs FROM (
+  SELECT qid, id, coalesce(vs, 0) AS vs, coalesce(bs, 0) AS bs FROM (SELECT qid, id, {_NORM.format('s')} AS vs FROM v WINDOW w AS (PARTITION BY qid)) FULL JOIN (SELECT qid, id, {_NORM.format('s')} AS bs FROM b WINDOW w AS (PARTITION BY qid)) USING (qid, id)
+  UNION ALL SELECT qid, tag_hint, 0, 0 FROM ask WHERE tag_hint IN (SELECT id FROM cur)) GROUP BY qid, id),
+base AS MATERIALIZED (SELECT qid, id, vs, bs, round(0.55 * vs + 0.45 * bs + {_BOOST}, 9)::DOUBLE AS score FROM pool JOIN cur USING (id) JOIN ask USING (qid)),
+hints AS (SELECT qid, tag_hint AS id, 0 AS o FROM ask WHERE tag_hint IN (SELECT id FROM cur) UNION ALL SELECT qid, cur.id, 1 FROM ask JOIN cur ON reference = reference_hint WHERE reference_hint <> ''),
+listed AS (SELECT qid, id, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM base) WHERE r <= 20
+  UNION ALL SELECT h.qid, h.id, coalesce(k, 0) + row_number() OVER (PARTITION BY h.qid ORDER BY o, h.id) FROM hints h LEFT JOIN (SELECT qid, least(count(*), 20) AS k FROM base GROUP BY qid) USING (qid)),
+seeds AS MATERIALIZED (SELECT qid, id, greatest(coalesce(score, 0), 0.05) / (1 + 0.2 * (place - 1)) AS signal FROM (SELECT qid, id, min(place) AS place FROM listed GROUP BY ALL) LEFT JOIN base USING (qid, id)),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT id AS src, upper(trim(unnest(refs))) AS dst FROM cur) WHERE dst IN (SELECT id FROM cur) AND src <> dst),
+o AS (SELECT src AS id, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS c FROM e GROUP BY 1),
+a AS MATERIALIZED (SELECT src AS node, dst AS t, 1.0 / sqrt(o.c) AS w FROM e JOIN o ON o.id = src UNION ALL SELECT dst, src, 0.65 / sqrt(i.c) FROM e JOIN i ON i.id = dst),
+h1 AS MATERIALIZED (SELECT qid, t AS id, sum(signal * w) AS s FROM seeds JOIN a ON node = seeds.id GROUP BY ALL),
+f1 AS (SELECT qid, id, s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, id) AS r FROM h1) WHERE r <= 160),
+h2 AS (SELECT qid, t AS id, sum(s * w * 0.55) AS s FROM f1 JOIN a ON node = f1.id GROUP BY ALL),
+g AS MATERIALIZED (SELECT qid, id, sum(s) AS g FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
+added AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(g, 12) DESC, id) AS r FROM g) WHERE r <= 80),
+everyone AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT qid, cur.id, 0, 0, round({_BOOST}, 9)::DOUBLE FROM added x JOIN cur ON cur.id = x.id JOIN ask USING (qid) WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.qid = x.qid AND base.id = x.id)),
+central AS (SELECT qid, id, {_NORM.format('c')} AS c FROM (SELECT qid, x.id, ln(1 + coalesce(i.c, 0)) + 0.35 * ln(1 + coalesce(o.c, 0)) AS c FROM everyone x LEFT JOIN i ON i.id = x.id LEFT JOIN o ON o.id = x.id) WINDOW w AS (PARTITION BY qid)),
+gn AS (SELECT qid, id, {_NORM.format('g')} AS g FROM g WINDOW w AS (PARTITION BY qid)) """.replace("{intent}", _INTENT).replace("{q}", "SELECT qid, embedding FROM asked, LATERAL (SELECT embedding FROM " + _VECTOR_OF.format("qid") + ")").replace("{d}", "SELECT id, embedding FROM cur, LATERAL (SELECT embedding FROM " + _VECTOR_OF.format("id") + ")")
+
+
+@query(_SEARCH + "SELECT qid, id, round(score, 6) AS score, round(vs, 6) AS vs, round(bs, 6) AS bs FROM base")
+def hybrid_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base scores of all candidates, before the graph: vectors and BM25 (all terms) fused, and intents."""
+    found = _given_stages(spark, sf_dir).base
+    return found.select("qid", "id", *[F.round(c, 6).alias(c) for c in ("score", "vs", "bs")])
+
+
+@query(_SEARCH + "SELECT qid, id, round(signal + 1e-7, 5) AS signal FROM seeds")
+def hybrid_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents from which each query spreads over the graph, with their signals."""
+    # Off the exact halves, which engines round differently.
+    return _given_stages(spark, sf_dir).seeds.select("qid", "id", F.round(F.col("signal") + 1e-7, 5).alias("signal"))
+
+
+@query(_SEARCH + "SELECT qid, id, round(score + 0.35 * coalesce(g, 0) + 0.10 * c, 6) AS score, round(vs, 6) AS vs, round(bs, 6) AS bs FROM everyone JOIN central USING (qid, id) LEFT JOIN gn USING (qid, id)")
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: all stated queries, ranked over the current corpus."""
-    corpus, index, vectors, edges = _search_tables(spark, sf_dir)
-    return hybrid_search(with_embeddings(asked(spark), dim=DIM), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"))
+    """The flagship: all stated queries, ranked over the current corpus by given vectors, BM25 (all terms), intents and graph."""
+    found = _given_stages(spark, sf_dir).final
+    return found.select("qid", "id", *[F.round(c, 6).alias(c) for c in ("score", "vs", "bs")])
+
+
+@query()
+def hybrid_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on hash embeddings of the texts, which SQL cannot compute."""
+    return hybrid_search(with_embeddings(asked(spark), dim=DIM), _stored(spark, sf_dir, "hash"))
 
 
 @query()
 def hybrid_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and MRR by category of finding every titled tag of the corpus by its own kind and title."""
-    corpus, index, vectors, edges = _search_tables(spark, sf_dir)
-    return evaluate(cut(evaluation_rows(corpus), "eval"), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"), provider="hash", dim=DIM)[1]
+    """Recall and MRR by category of finding every titled tag of the corpus by its own kind and title, on hash embeddings."""
+    index = _stored(spark, sf_dir, "hash")
+    rows = cut(evaluation_rows(index.corpus), "eval")
+    return evaluate(rows, index, HybridParameters(lexical_mode="or"), provider="hash", dim=DIM)[1]
 
 
 def evaluation_rows(corpus: DataFrame) -> DataFrame:

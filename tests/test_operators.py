@@ -15,7 +15,7 @@ from folioscan.operators.corpus import longest_prefix, merge_corpus
 from folioscan.operators.merging import merge_by_key, ranked_items, score_records, source_diagnostics
 from folioscan.operators.ranking import keep_last
 from folioscan.operators.skew import hot_keys, lookup_join, running_sum
-from folioscan.plans.hybrid import HybridParameters, hybrid_search
+from folioscan.plans.hybrid import HybridParameters, SearchIndex, hybrid_search
 from tests.conftest import rows
 
 TEXTS = [("a", "Flat maps", "flat flat map foo_bar étale"), ("b", "", "foo bar and map of maps"), ("c", None, "bar foo étale etale scheme"), ("d", "Scheme", "flat scheme scheme"), ("e", "x", ""), ("f", "y", None)]
@@ -228,8 +228,9 @@ def test_hybrid_against_brute_force(spark):
     asked = spark.createDataFrame(list(enumerate(queries)), "qid int, query string")
     ready = with_embeddings(asked, dim=64)
     e = spark.createDataFrame(sorted(edges), "src string, dst string")
+    whole = SearchIndex(frame, index, vectors, G.GraphIndex.build(frame, e))
     got = defaultdict(dict)
-    for r in hybrid_search(ready, frame, index, vectors, e, p).collect():
+    for r in hybrid_search(ready, whole, p).collect():
         got[r.qid][r.id] = r.score
     lexical = defaultdict(dict)
     from folioscan.functions.text import expand_query
@@ -242,7 +243,7 @@ def test_hybrid_against_brute_force(spark):
         want = brute(text, docs, lexical[n], {i: float(np.round(m[i] @ q[n], 9)) for i in m}, edges, p)
         assert set(got[n]) == set(want)
         assert all(abs(got[n][i] - want[i]) < 1e-6 for i in want), text
-    plain = hybrid_search(ready, frame, index, vectors, e, HybridParameters(vector_k=5, bm25_k=5, graph_weight=0.0, env="lemma", lexical_mode="or"))
+    plain = hybrid_search(ready, whole, HybridParameters(vector_k=5, bm25_k=5, graph_weight=0.0, env="lemma", lexical_mode="or"))
     assert {docs[r.id]["env_type"] for r in plain.collect()} == {"lemma"}
 
 
@@ -254,6 +255,7 @@ def test_graph(spark):
     d = {r.id: (r.n_in, r.n_out) for r in G.degrees(nodes, edges).collect()}
     assert d == {"A": (0, 1), "B": (1, 1), "C": (1, 0)}
     seeds = spark.createDataFrame([(1, "A", 1.0)], "qid int, id string, signal double")
-    assert G.expand(seeds, edges, hops=0).count() == 0
-    got = {r.id: r.graph_score for r in G.expand(seeds, edges, hops=2).collect()}
+    graph = G.GraphIndex.build(nodes, edges)
+    assert G.expand(seeds, graph, hops=0).count() == 0
+    got = {r.id: r.graph_score for r in G.expand(seeds, graph, hops=2).collect()}
     assert got == pytest.approx({"B": 1.0, "C": 0.55, "A": 0.55 * 0.65})

@@ -1,11 +1,13 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators.lexical import LexicalIndex
 from folioscan.plans import assistant, pipeline, tuning
-from folioscan.plans.hybrid import HybridParameters, hybrid_search
+from folioscan.functions.scoring import Routes
+from folioscan.plans.hybrid import HybridParameters, SearchIndex, hybrid_search, search_stages
 from folioscan.operators import graph as G
 from folioscan.session import scratch_path
 from folioscan.sources.sinks import read_json, read_version
@@ -83,27 +85,38 @@ def search(spark):
     index = pipeline.build_index(pipeline.lexical_input(corpus))
     vectors = tuning.embed(corpus, "id", F.col("statement_text"), "hash", dim=64)
     edges = spark.createDataFrame([("T000", "T001"), ("T002", "T001")], "src string, dst string")
-    return corpus, index, vectors, edges
+    return SearchIndex(corpus, index, vectors, G.GraphIndex.build(corpus, edges))
 
 
 def test_evaluation_gate_and_sweep(spark, search):
-    corpus, index, vectors, edges = search
     evals = spark.createDataFrame([("e1", "flat lemma", ["T000"], "definition"), ("e2", "prove proper maps", ["T001"], "proof"), ("e3", "T004", ["T004"], "")], "id string, query string, relevant_tags array<string>, category string")
     p = HybridParameters(lexical_mode="or")
-    per_query, aggregate = tuning.evaluate(evals, corpus, index, vectors, edges, p, dim=64)
+    per_query, aggregate = tuning.evaluate(evals, search, p, dim=64)
     assert {r.category for r in aggregate.collect()} == {"(all)", "definition", "proof", "uncategorized"}
     assert next(r for r in per_query.collect() if r.qid == "e3")["mrr@1"] == 1.0
     assert tuning.gate(aggregate, {"mrr@10": 0.0, "recall@10": 0.0})[0] == 0
     assert tuning.gate(aggregate, {"mrr@10": 2.0})[0] == 3
     routes = [{"name": "plain"}, {"name": "loud", "proof_route_bonus": 2.0, "nonproof_proof_penalty": 0.5}]
-    board, failed = tuning.sweep(evals, corpus, index, edges, [{"name": "h", "provider": "hash", "dim": 32, "text_fields": "statement_text, title"}, {"name": "bad", "provider": "none", "text_fields": "title"}], routes, p)
+    board, failed = tuning.sweep(evals, search, [{"name": "h", "provider": "hash", "dim": 32, "text_fields": "statement_text, title"}, {"name": "bad", "provider": "none", "text_fields": "title"}], routes, p)
     assert board.count() == 2 and failed[0]["candidate"] == "bad"
+    with pytest.raises(Exception, match="unknown_column"):  # a fault of the plan is no failed candidate
+        tuning.sweep(evals, search, [{"name": "h", "provider": "hash", "text_fields": "unknown_column"}], routes, p)
+
+
+def test_routes_in_one_plan_are_as_one_by_one(spark, search):
+    asked = spark.createDataFrame([(1, "prove proper maps"), (2, "flat lemma 3.1")], "qid int, query string")
+    ready = tuning.with_embeddings(asked, dim=64)
+    kinds = [Routes(), Routes(proof_bonus=2.0, nonproof_penalty=0.5)]
+    p = HybridParameters(lexical_mode="or")
+    got = search_stages(ready, search, p, kinds).final.selectExpr("qid.route", "qid.qid", "id", "score", "rank")
+    alone = [(n, *r) for n, k in enumerate(kinds) for r in hybrid_search(ready, search, replace(p, routes=k)).select("qid", "id", "score", "rank").collect()]
+    assert rows(got) == sorted(alone, key=repr)
 
 
 def test_assistant(spark, search):
-    corpus, index, vectors, edges = search
+    corpus = search.corpus
     asked = spark.createDataFrame([("1", "flat morphism of schemes"), ("2", "weather"), ("3", "proper sheaf cohomology")], "qid string, query string")
-    found = hybrid_search(tuning.with_embeddings(asked, dim=64), corpus, index, vectors, edges, HybridParameters(lexical_mode="or"))
+    found = hybrid_search(tuning.with_embeddings(asked, dim=64), search, HybridParameters(lexical_mode="or"))
     local = assistant.local_evidence(found.filter("qid <> '3'"), corpus, 2, "b")
     items = spark.createDataFrame([("1", "arxiv", 1, "Flat schemes", "A", "2024", "s", "u", "", "2401.00001"), ("1", "openalex", 1, "flat schemes", "", "", "longer", "", "", "2401.00001")], "qid string, source_key string, rank int, title string, authors string, year string, summary string, url string, doi string, arxiv_id string")
     literature = assistant.papers(items, asked, 2025)

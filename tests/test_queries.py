@@ -51,7 +51,7 @@ def test_evaluation_asks_every_titled_tag(spark, tiny):
 
 def test_hash_embeddings_have_the_default_dimension(spark, tiny):
     """The reference's build and the operators' own defaults use 1536."""
-    vectors = reference._search_tables(spark, tiny)[2]
+    vectors = reference._stored(spark, tiny, "hash").vectors
     assert {r.n for r in vectors.select(F.size("embedding").alias("n")).distinct().collect()} == {1536}
     made = hash_vectors(spark.read.parquet(f"{tiny}/documents.parquet"), "doc_id", F.col("text"))
     dense = made.select("doc_id", densify(F.col("indices"), F.col("values"), 1536).alias("embedding"))
