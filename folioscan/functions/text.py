@@ -5,9 +5,9 @@ A missing text counts as empty. Blanks are Unicode blanks unless said otherwise.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Callable, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +20,8 @@ from folioscan.functions.fold import fold_accents
 QUERY_EXPANSIONS = [("概形", "scheme"), ("层", "sheaf"), ("平坦", "flat"), ("态射", "morphism"), ("代数栈", "algebraic stack"), ("上同调", "cohomology"), ("余切", "cotangent"), ("除子", "divisor"), ("定义", "definition"), ("引理", "lemma"), ("定理", "theorem"), ("证明", "proof")]
 # Elements that start a new line of text.
 BLOCK_ELEMENTS = {"p", "div", "li", "br", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: A whole tag, for the engine's regular expressions.
+TAG = r"""</?[A-Za-z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
 
 
 def text(column: Column) -> Column:
@@ -39,41 +41,56 @@ def compact(column: Column) -> Column:
     return strip(F.regexp_replace(column, r"(?U)\s+", " "))
 
 
-class _Blocks(HTMLParser):
-    def __init__(self, keep_scripts: bool):
-        super().__init__()
-        self.out: list[str] = []
-        self.keep_scripts, self.muted = keep_scripts, 0
-
-    def handle_starttag(self, tag, attrs):
-        self.muted += tag in ("script", "style") and not self.keep_scripts
-        if tag in BLOCK_ELEMENTS:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.muted:
-            self.muted -= 1
-        if tag in BLOCK_ELEMENTS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.out.append(data)
+_PIECE = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)  # comments and declarations
+    |</?(?P<tag>[A-Za-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>
+    |(?P<text>[^<]+|<)""",
+    re.S | re.X,
+)
+_RAW = {"script", "style"}  # elements whose text is not mark-up
 
 
 def plain_text(source: str | None, keep_scripts: bool = True) -> str:
     """Text of an HTML fragment: block elements break lines, entities are decoded, comments go; runs of blanks collapse."""
-    parser = _Blocks(keep_scripts)
-    parser.feed(source or "")
-    parser.close()
-    joined = re.sub(r"[ \t\f\v]+", " ", "".join(parser.out))
+    source, out, at = source or "", [], 0
+    while at < len(source):
+        piece = _PIECE.match(source, at)
+        if piece is None:  # a tag that never ends is no text
+            break
+        at = piece.end()
+        if piece["text"]:
+            out.append(html.unescape(piece["text"]))
+        elif piece["tag"]:
+            name, opens = piece["tag"].lower(), source[piece.start() + 1] != "/"
+            out.append("\n" if name in BLOCK_ELEMENTS else "")
+            if opens and name in _RAW:
+                closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                end = closing.start() if closing else len(source)
+                out.append(source[at:end] if keep_scripts else "")
+                at = end
+    joined = re.sub(r"[ \t\f\v]+", " ", "".join(out))
     return re.sub(r"\n\s*\n+", "\n\n", joined).strip()
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text(source: pd.Series) -> pd.Series:
-    """:func:`plain_text` in Arrow batches; null gives the empty text."""
-    return source.map(plain_text)
+def _parsed(source: pd.Series) -> pd.Series:
+    return source.map(lambda x: None if x is None else plain_text(x))
+
+
+def html_to_text(source: Column | str) -> Column:
+    """:func:`plain_text`; null gives the empty text.
+
+    Fragments of nothing but whole tags and text, without entities, are read by
+    the engine itself; only the others are sent to Python.
+    """
+    c = text(F.col(source) if isinstance(source, str) else source)
+    left_over = F.regexp_replace(c, TAG, "")
+    simple = ~F.contains(c, F.lit("&")) & ~left_over.rlike("<") & ~c.rlike(r"(?i)<(?:script|style)\b")
+    names = "|".join(sorted(BLOCK_ELEMENTS))
+    broken = F.regexp_replace(c, rf"(?i)</?(?:{names})(?=[\s/>])[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>", "\n")
+    joined = F.regexp_replace(F.regexp_replace(broken, TAG, ""), r"[ \t\f\x0B]+", " ")
+    here = strip(F.regexp_replace(joined, r"(?U)\n\s*\n+", "\n\n"))
+    return F.when(simple, here).otherwise(_parsed(F.when(~simple, c)))
 
 
 def normalize_math(column: Column) -> Column:

@@ -202,7 +202,12 @@ def page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_corpus(spark, sf_dir).select("id", F.posexplode(X.tag_refs(F.col("full_html"))).alias("pos", "ref"))
 
 
-@query()
+_TAGS = r"""</?[A-Za-z][^<>"]*(?:"[^"]*"[^<>"]*)*>"""
+_LINES = f"regexp_replace(full_html, '(?i)</?(?:p|div|li|br|tr|h[1-6])(?:[\\s/][^<>]*)?>', chr(10), 'g')"
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace({_LINES}, '{_TAGS}', '', 'g'), '[ \\t\\f\\v]+', ' ', 'g'), '\\n\\s*\\n+', chr(10) || chr(10), 'g')"
+
+
+@query(f"WITH {SQL_CUR} SELECT id, regexp_replace({_TEXT}, '^\\s+|\\s+$', '', 'g') AS text FROM cur")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_corpus(spark, sf_dir).select("id", X.html_to_text("full_html").alias("text"))
 
