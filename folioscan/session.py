@@ -38,7 +38,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, the local bench) a temporary one is made.
+    Only where that is unset and the master is local (tests, the local bench) a
+    temporary one is made; on a cluster no machine's own folder would do.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
@@ -46,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="folioscan-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
@@ -66,7 +69,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/folioscan/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if Scratch.open_:
+        Scratch.open_[-1].append(path)
+    else:
+        atexit.register(_delete, spark, path)
     return path
 
 
@@ -88,5 +94,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    _delete(spark, path)
+class Scratch:
+    """``with Scratch(spark):`` - what was cut inside is deleted at its end, for drivers that live long.
+
+    Results must have been written or collected by then, since they read the cuts.
+    """
+
+    open_: list[list[str]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        Scratch.open_.append([])
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in Scratch.open_.pop():
+            _delete(self.spark, path)

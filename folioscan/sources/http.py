@@ -44,25 +44,50 @@ def error_code(error: BaseException) -> str:
     return "URL_ERROR" if isinstance(error, urllib.error.URLError) else "REQUEST_ERROR"
 
 
-def fetch(url: str, timeout: float = 30, tries: int = 3, wait: float = 0.5, context: ssl.SSLContext | None = None, opener: Callable | None = None, status_aware: bool = False) -> dict:
-    """One document as a row. Waits grow with the tries; ``status_aware`` repeats only 429 and 5xx, with waits up to 10 s."""
+# The answers after which a status-aware request is repeated.
+REPEATED = (429, 500, 502, 503, 504)
+
+
+def fetch(
+    url: str,
+    timeout: float = 30,
+    tries: int = 3,
+    wait: float = 0.5,
+    context: ssl.SSLContext | None = None,
+    opener: Callable | None = None,
+    status_aware: bool = False,
+) -> dict:
+    """One document as a row. Waits grow with the tries.
+
+    ``status_aware`` repeats after the answers of :data:`REPEATED` only, with
+    waits of up to ten seconds at the default ``wait``; other refusals end at once.
+    """
     began, opener = time.time(), opener or urllib.request.urlopen
     request, last = urllib.request.Request(url, headers={"User-Agent": AGENT}), None
+    spent = lambda: int((time.time() - began) * 1000)
     for n in range(1, tries + 1):
         try:
             with opener(request, timeout=timeout, **({"context": context} if context else {})) as answer:
-                body = answer.read()
-            return {"url": url, "ok": True, "content": body.decode("utf-8", errors="replace"), "error": "", "code": "", "duration_ms": int((time.time() - began) * 1000)}
+                body = answer.read().decode("utf-8", errors="replace")
+            return {"url": url, "ok": True, "content": body, "error": "", "code": "", "duration_ms": spent()}
         except urllib.error.HTTPError as e:
             last = e
-            if status_aware and e.code != 429 and e.code < 500:
+            if status_aware and e.code not in REPEATED:
                 break
-            pause = min(2 * n, 10) if status_aware else wait * n
+            pause = min(4 * wait * n, 20 * wait) if status_aware else wait * n
         except Exception as e:  # noqa: BLE001 - any failure becomes a row
             last, pause = e, wait * n
         if n < tries:
             time.sleep(pause)
-    return {"url": url, "ok": False, "content": "", "error": str(last), "code": error_code(last), "duration_ms": int((time.time() - began) * 1000)}
+    return {"url": url, "ok": False, "content": "", "error": str(last), "code": error_code(last), "duration_ms": spent()}
+
+
+def _fetcher(options: dict) -> Callable[[str], dict]:
+    """:func:`fetch` with the options of a reader, which may be texts."""
+    context = tls_context(options.get("cabundle"))
+    aware = str(options.get("status_aware", "false")).lower() == "true"
+    timeout, tries, wait = float(options.get("timeout", 30)), int(options.get("tries", 3)), float(options.get("wait", 0.5))
+    return lambda url: fetch(url, timeout, tries, wait, context if url.startswith("https") else None, status_aware=aware)
 
 
 class _Part(InputPartition):
@@ -80,10 +105,9 @@ class _Reader(DataSourceReader):
         return [_Part(urls[k::workers]) for k in range(min(workers, max(1, len(urls))))]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        o = self.options
-        context = tls_context(o.get("cabundle"))
+        get = _fetcher(self.options)
         for url in partition.urls:
-            row = fetch(url, float(o.get("timeout", 30)), int(o.get("tries", 3)), float(o.get("wait", 0.5)), context if url.startswith("https") else None)
+            row = get(url)
             yield tuple(row[c] for c in ("url", "ok", "content", "error", "code", "duration_ms"))
 
 
@@ -102,13 +126,13 @@ class HttpSource(DataSource):
 
 
 def fetch_frame(urls: DataFrame, column: str = "url", workers: int = 8, **options) -> DataFrame:
-    """The same for a DataFrame of URLs of any size: ``workers`` partitions fetch side by side."""
+    """The same for a DataFrame of URLs of any size: ``workers`` partitions fetch side by side; options as of the source."""
     import pandas as pd
 
     def run(batches):
-        context = tls_context(options.get("cabundle"))
+        get = _fetcher(options)
         for batch in batches:
-            yield pd.DataFrame([fetch(u, options.get("timeout", 30), options.get("tries", 3), options.get("wait", 0.5), context if u.startswith("https") else None) for u in batch[column]], columns=["url", "ok", "content", "error", "code", "duration_ms"])
+            yield pd.DataFrame([get(u) for u in batch[column]], columns=["url", "ok", "content", "error", "code", "duration_ms"])
 
     return urls.select(column).repartition(workers).mapInPandas(run, FETCHED)
 

@@ -1,7 +1,8 @@
-"""Parsers of literature services' answers: ``(source_key, qid, payload)`` to items, one plan for each source."""
+"""Literature services: requests, answers fetched side by side, and their parsers, one plan for each source."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,38 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import literature as L
 from folioscan.functions.text import clean_snippet, format_authors, short_text, strip, text
+from folioscan.operators.merging import source_diagnostics
+from folioscan.session import cut
+from folioscan.sources.http import fetch_frame
+
+# The addresses of the services and the parameters of their searches; "{n}" is the number of results asked for.
+ENDPOINTS = {
+    "arxiv": "https://export.arxiv.org/api/query",
+    "openalex": "https://api.openalex.org/works",
+    "semanticscholar": "https://api.semanticscholar.org/graph/v1/paper/search",
+    "crossref": "https://api.crossref.org/works",
+    "mathoverflow": "https://api.stackexchange.com/2.3/search/advanced",
+    "mathse": "https://api.stackexchange.com/2.3/search/advanced",
+    "wikipedia": "https://en.wikipedia.org/w/api.php",
+}
+ASKED_AS = {
+    "arxiv": "search_query",
+    "openalex": "search",
+    "semanticscholar": "query",
+    "crossref": "query.bibliographic",
+    "mathoverflow": "q",
+    "mathse": "q",
+    "wikipedia": "srsearch",
+}
+PARAMETERS = {
+    "arxiv": "start=0&max_results={n}&sortBy=relevance&sortOrder=descending",
+    "openalex": "per-page={n}&sort=relevance_score%3Adesc",
+    "semanticscholar": "limit={n}&fields=title%2Cyear%2Cauthors%2Curl%2Cabstract%2CexternalIds",
+    "crossref": "rows={n}&sort=relevance&order=desc&select=DOI%2Ctitle%2Cauthor%2Cissued%2CURL%2Ccontainer-title%2Cabstract",
+    "mathoverflow": "order=desc&sort=relevance&site=mathoverflow.net&pagesize={n}&filter=default",
+    "mathse": "order=desc&sort=relevance&site=math&pagesize={n}&filter=default",
+    "wikipedia": "action=query&format=json&list=search&srlimit={n}&utf8=1",
+}
 
 
 
@@ -82,16 +115,62 @@ def stackexchange(df: DataFrame) -> DataFrame:
 PARSERS = {"arxiv": arxiv, "openalex": openalex, "semanticscholar": semanticscholar, "crossref": crossref, "mathoverflow": stackexchange, "mathse": stackexchange, "wikipedia": wikipedia}
 
 
-def parse_payloads(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Items of all sources: ``source_key, qid, rank`` and the fields of a record; an unknown source is an error."""
-    wanted = L.SOURCES if sources is None else [s.strip().lower() for s in sources]
+def known_sources(sources: list[str] | None) -> list[str]:
+    """Lower-case names in order, each once; none given means all; an unknown one is an error."""
+    wanted = [s.strip().lower() for s in sources or L.SOURCES]
     unknown = sorted(set(wanted) - set(PARSERS))
     if unknown:
         raise ValueError(f"unknown sources {', '.join(unknown)}; there are {', '.join(sorted(PARSERS))}")
-    return reduce(DataFrame.unionByName, [PARSERS[s](_of(payloads, s)) for s in dict.fromkeys(wanted)])
+    return list(dict.fromkeys(wanted))
+
+
+def parse_payloads(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """Items of all sources: ``source_key, qid, rank`` and the fields of a record; an unknown source is an error."""
+    return reduce(DataFrame.unionByName, [PARSERS[s](_of(payloads, s)) for s in known_sources(sources)])
 
 
 def arxiv_query(query: Column, categories: list[str] | None = None) -> Column:
     some = L.CATEGORIES if categories is None else categories
     base = F.concat(F.lit("(all:"), query, F.lit(")"))
     return F.concat(base, F.lit(f" AND ({' OR '.join(f'cat:{c}' for c in some)})")) if some else base
+
+
+def request_urls(queries: DataFrame, sources: list[str] | None = None, per_source: int = 8, categories: list[str] | None = None, bases: dict[str, str] | None = None, hint: bool = True) -> DataFrame:
+    """``source_key, qid, url`` of the search of every source for each ``(qid, query)``; ``bases`` replace addresses, for mirrors and tests."""
+    asked = []
+    for source in known_sources(sources):
+        q = L.web_query(F.col("query"), hint)
+        sent = arxiv_query(q, categories) if source == "arxiv" else q
+        base = (bases or {}).get(source, ENDPOINTS[source])
+        url = F.concat(F.lit(f"{base}?{ASKED_AS[source]}="), F.url_encode(sent), F.lit("&" + PARAMETERS[source].format(n=per_source)))
+        asked.append(F.struct(F.lit(source).alias("source_key"), url.alias("url")))
+    return queries.select("qid", F.explode(F.array(*asked)).alias("a")).select("a.source_key", "qid", "a.url")
+
+
+@dataclass
+class Gathered:
+    """``items`` of all sources, ``failures(source_key, qid, code, message)``, ``diagnostics`` per source."""
+
+    items: DataFrame
+    failures: DataFrame
+    diagnostics: DataFrame
+
+
+def gather(queries: DataFrame, sources: list[str] | None = None, per_source: int = 8, categories: list[str] | None = None, bases: dict[str, str] | None = None, hint: bool = True, workers: int = 8, **options) -> Gathered:
+    """Ask every source for each query. A source that fails or answers nonsense is a row of failures; the others go on.
+
+    Requests are repeated by their status (see :func:`folioscan.sources.http.fetch`), ``workers`` of them side by side.
+    """
+    names = known_sources(sources)
+    urls = cut(request_urls(queries, names, per_source, categories, bases, hint), "requests")
+    fetched = fetch_frame(urls, workers=workers, status_aware=True, **options)
+    answers = cut(urls.join(fetched, "url").withColumnRenamed("content", "payload"), "answers")
+    is_feed = F.col("source_key") == "arxiv"
+    readable = F.when(is_feed, F.col("payload").rlike("<feed[\\s>]")).otherwise(F.try_parse_json("payload").isNotNull())
+    lost = F.when(~F.col("ok"), F.col("code")).when(~readable, F.lit("PARSE_ERROR"))
+    message = F.when(~F.col("ok"), F.col("error")).otherwise(F.lit("the answer cannot be read"))
+    failures = answers.select("source_key", "qid", lost.alias("code"), message.alias("message")).filter("code IS NOT NULL")
+    items = cut(parse_payloads(answers.filter(lost.isNull()).select("source_key", "qid", "payload"), names), "items")
+    by_source = failures.groupBy("source_key").agg(F.min_by("code", "qid").alias("code"), F.min_by("message", "qid").alias("message"))
+    asked = F.col("source_key").isin(names)
+    return Gathered(items, failures, source_diagnostics(items, by_source).filter(asked))
