@@ -15,6 +15,10 @@ CATEGORIES = ["math.AG", "math.AC", "math.RT", "math.NT", "math.KT", "math.RA",
 DOMAIN_TERMS = ["scheme", "morphism", "sheaf", "stack", "moduli", "cohomology", "divisor", "etale", "flat", "affine", "proper", "algebraic geometry", "代数几何", "概形", "层", "态射", "上同调", "平坦"]
 FRESH_TERMS = ["latest", "recent", "state of the art", "state-of-the-art", "trend", "trends", "survey", "surveys", "survey paper", "review", "reading list", "比较", "进展", "最新", "最新进展", "综述", "发展"]
 RECENCY, RECENCY_FRESH = 0.25, 0.40
+# The patterns of years, DOIs and arXiv identifiers.
+YEAR_PATTERN = r"((?:19|20)\d{2})"
+DOI_PATTERN = r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
+ARXIV_PATTERN = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|^)(\d{4}\.\d{4,5}(?:v\d+)?)"
 
 
 def contains_any(column: Column, terms: list[str]) -> Column:
@@ -23,7 +27,7 @@ def contains_any(column: Column, terms: list[str]) -> Column:
 
 def year_of(value: Column) -> Column:
     """The first year 19xx or 20xx in a text, or empty."""
-    return F.regexp_extract(text(value), r"((?:19|20)\d{2})", 1)
+    return F.regexp_extract(text(value), YEAR_PATTERN, 1)
 
 
 def year_of_json(value: Column) -> Column:
@@ -44,11 +48,11 @@ def title_key(title: Column) -> Column:
 
 
 def doi_in(value: Column) -> Column:
-    return F.lower(F.regexp_extract(text(value), r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1))
+    return F.lower(F.regexp_extract(text(value), DOI_PATTERN, 1))
 
 
 def arxiv_in(value: Column) -> Column:
-    return F.lower(F.regexp_extract(strip(text(value)), r"(?i)(?:arxiv\.org/(?:abs|pdf)/|^)(\d{4}\.\d{4,5}(?:v\d+)?)", 1))
+    return F.lower(F.regexp_extract(strip(text(value)), ARXIV_PATTERN, 1))
 
 
 def canonical_key(doi: Column, arxiv: Column, url: Column, title: Column) -> Column:

@@ -11,7 +11,7 @@ from folioscan.plans.hybrid import HybridParameters, SearchIndex, hybrid_search,
 from folioscan.operators import graph as G
 from folioscan.session import scratch_path
 from folioscan.sources.sinks import read_json, read_version
-from folioscan.streaming.upserts import read_table_stream, sessions, upsert_batches, windowed_counts
+from folioscan.streaming.upserts import read_table_stream, read_upserted, sessions, upsert_batches, windowed_counts
 from tests.conftest import rows
 
 TAGS = [("AAA1", "flat-maps-lemma-one"), ("AAA2", "flat-maps-theorem-two"), ("AAA3", "stacks-definition-three"), ("AAA4", "stacks-remark-gone")]
@@ -131,15 +131,18 @@ def test_assistant(spark, search):
     assert {(w.source, w.degrade_reason) for w in got["3"].warnings} == {("papers", "timeout"), ("stacks", "no_matches")}
 
 
-def test_stream_upserts(spark, tmp_path):
+def test_stream_upserts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folioscan.streaming.upserts.MERGE_PARTS", 2)
     schema = "k string, n int, v string"
     src, table, check = str(tmp_path / "in"), scratch_path(spark, "stream"), str(tmp_path / "check")
-    batches = [[("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], [("a", 1, "late"), ("c", 3, "w"), (None, 1, "n")]]
+    batches = [[("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], [("a", 1, "late"), ("c", 3, "w"), (None, 1, "n")], [("d", 1, "u")], [("b", 2, "t")]]
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
         upsert_batches(read_table_stream(spark, src, schema), "k", "n", table, check).awaitTermination()
-    assert rows(read_version(spark, table).select("k", "n", "v")) == [("a", 2, "z"), ("b", 1, "y"), ("c", 3, "w")]
-    assert read_json(spark, f"{table}/CURRENT")["batch"] == 1
+    assert rows(read_upserted(spark, table, "k", "n").select("k", "n", "v")) == [("a", 2, "z"), ("b", 2, "t"), ("c", 3, "w"), ("d", 1, "u")]
+    state = read_json(spark, f"{table}/CURRENT")
+    assert state["batch"] == 3 and state["parts"] == ["merged-3", "batch-3"]
+    assert spark.read.parquet(f"{table}/batch-3").count() == 1  # a batch writes its own rows only
 
 
 def test_stream_windows(spark, tiny):

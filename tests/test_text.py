@@ -115,3 +115,11 @@ def test_makefile():
     assert chapter_keys(text) == ["a", "b", "c"]
     assert chapter_keys("x") == []
     assert chapter_keys("LIJST = a \\\n\n b") == ["a"]
+
+
+def test_html_by_the_engine_is_as_by_python(spark):
+    """Whole tags and text are read by the engine, the rest by Python; both give the same."""
+    sources = ["<p>a</p><div>b<br/>c</div> d", "x<h2 class='a>b'>t</h2>\n \n<li>y", "<b>i</b>  <a href=\"/x\">z</a>\t", "a &amp; b", "1 < 2", "<!-- c -->e", "<SCRIPT>if (a<b)</SCRIPT>f", "<p", "", "<table><tr><td>1</td></tr></table>", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, s string")
+    got = dict(df.select("i", X.html_to_text("s")).collect())
+    assert got == {i: X.plain_text(s) for i, s in enumerate(sources)}
