@@ -7,6 +7,7 @@ held-out ones, gives the probability that two items are one work.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from folioscan.llm.mixing import source_key
 from folioscan.llm.papers import abstract, letters, near, read_title, read_year, surnames, valid_arxiv, valid_doi
 from folioscan.operators.skew import hot_keys, lookup_join
-from folioscan.session import cut
+from folioscan.session import brief_shuffles, cut, scratch_path, uncut
 
 PREPARED = "item_id bigint, source string, tokens array<string>, stems array<string>, part int, note string, question boolean, cut boolean, names array<string>, et_al boolean, year int, doi string, arxiv string, abstract array<int>"
 COMPARED = ["tokens", "part", "note", "question", "cut", "names", "et_al", "year", "doi", "arxiv", "abstract"]
@@ -29,6 +30,8 @@ COMMON = 0.04  # stems in a larger share of titles say nothing about a work
 PERMUTATIONS = 8
 SURE = 0.9  # confidence from which a link may carry others
 PART = 500  # items of a block whose pairs with all of the block are one task's work
+TILE = 6  # meetings in blocks, for each item, that are compared at a time; what a comparison shuffles takes this share of the disk
+LEAST_TILE = 1_000_000  # meetings that are compared at a time in any case
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,27 +88,66 @@ def block_keys(items: DataFrame, common: list[str]) -> DataFrame:
     return closed.unionByName(titled)
 
 
-def candidate_pairs(items: DataFrame, common: list[str]) -> DataFrame:
-    """All distinct ``a < b`` that share a block; items of one source may be the bridge between others.
+def candidate_blocks(items: DataFrame, common: list[str]) -> tuple[DataFrame, float]:
+    """(``item_id, key, open, nameless, parts``, number of meetings in blocks): the blocks, ready to be joined.
 
     No block is cut or split by other keys, whatever its size. For balance alone
     the left side of a block goes in parts of about ``PART`` items to as many
     tasks, each of which sees the whole right side.
     """
-    keys = cut(block_keys(items, common), "keys")
-    first = ~F.col("open") | F.col("nameless")  # may be the left side of a pair
-    sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("m")), "blocks")
-    large = sizes.filter((F.col("m") > PART) & (F.col("n") > 1)).select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    keys = cut(block_keys(items, common).withColumn("parts", F.lit(1)), "keys")
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(_first()).alias("m"), F.bool_or("open").alias("open"))
+    sizes = cut(counted.filter("n > 1"), "blocks")
+    meetings = sizes.agg(F.sum(F.when(F.col("open"), F.col("m") * (F.col("n") - 1.0)).otherwise(F.col("n") * (F.col("n") - 1.0) / 2))).first()[0] or 0.0
+    large = sizes.filter(F.col("m") > PART).select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     if large.isEmpty():
-        parted = keys.withColumn("parts", F.lit(1))
+        uncut(sizes)
+        return keys, meetings
+    joined = lookup_join(keys.drop("parts"), large, "key", hot_keys(sizes, "key", "n", keys.count()), "left")
+    blocks = cut(joined.withColumn("parts", F.coalesce("parts", F.lit(1))), "blocks")
+    uncut(keys, sizes)
+    return blocks, meetings
+
+
+def _first() -> Column:
+    """An item that may be the left side of a pair."""
+    return ~F.col("open") | F.col("nameless")
+
+
+def _slice_of(column: str, slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slice"), F.col(column)), F.lit(slices))
+
+
+def pairs_of(blocks: DataFrame, i: int = 0, j: int = 0, slices: int = 1) -> DataFrame:
+    """Distinct ``a < b`` that share a block, one item in slice ``i``, the other in ``j``; each pair is in one such tile."""
+    left = blocks.filter(_first()).select("key", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), F.col("item_id").alias("l"), "open")
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("item_id").alias("r"))
+    if slices > 1:
+        one = lambda x, y: left.filter(_slice_of("l", slices) == x).join(right.filter(_slice_of("r", slices) == y), ["key", "part"])
+        met = one(i, j) if i == j else one(i, j).unionByName(one(j, i))
     else:
-        total = sizes.agg(F.sum("n")).first()[0]
-        parted = lookup_join(keys, large, "key", hot_keys(sizes, "key", "n", total), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = parted.filter(first).select("key", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), F.col("item_id").alias("l"), "open")
-    right = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("item_id").alias("r"))
-    met = left.join(right, ["key", "part"]).filter("IF(open, l <> r, l < r)")
-    pairs = met.select(F.least("l", "r").alias("item_id_a"), F.greatest("l", "r").alias("item_id_b"))
-    return pairs.distinct()
+        met = left.join(right, ["key", "part"])
+    met = met.filter("IF(open, l <> r, l < r)")
+    return met.select(F.least("l", "r").alias("item_id_a"), F.greatest("l", "r").alias("item_id_b")).distinct()
+
+
+def candidate_pairs(items: DataFrame, common: list[str]) -> DataFrame:
+    """All distinct ``a < b`` that share a block; items of one source may be the bridge between others."""
+    return pairs_of(candidate_blocks(items, common)[0])
+
+
+def _drawn(blocks: DataFrame, meetings: float, most: int) -> DataFrame:
+    """Candidate pairs among which are the ``most`` with the smallest hash, without all others being written."""
+    share = 8 * most / max(meetings, 1.0)
+    while True:
+        pairs = pairs_of(blocks)
+        if share < 1:
+            pairs = pairs.filter(F.xxhash64("item_id_a", "item_id_b") < F.lit(int(-(2**63) + share * 2**64)))
+        drawn = cut(pairs, "drawn")
+        if share >= 1 or drawn.count() >= most:
+            return drawn
+        uncut(drawn)
+        share *= 8
 
 
 # --- features
@@ -207,6 +249,14 @@ def _worth_reading() -> Column:
     return ~nameless | known[0] | known[1] | said | alike
 
 
+def worth_reading(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs that :func:`compared` will read, found with the few columns that decide it, so that no others carry whole items along."""
+    brief = {"stems": F.col("stems"), "names": F.slice("names", 1, 1), "doi": F.col("doi"), "arxiv": F.col("arxiv"), "abstract": F.slice("abstract", 1, 5)}
+    for s in "ab":
+        pairs = pairs.join(items.select(F.col("item_id").alias(f"item_id_{s}"), *[c.alias(f"{n}_{s}") for n, c in brief.items()]), f"item_id_{s}")
+    return pairs.filter(_worth_reading()).select("item_id_a", "item_id_b")
+
+
 def compared(pairs: DataFrame, items: DataFrame, common: list[str]) -> DataFrame:
     """``item_id_a, item_id_b, x``: the features of each pair that is worth reading."""
     for s in "ab":
@@ -287,6 +337,7 @@ def fit(items: DataFrame, pairs: DataFrame, groups: DataFrame | None, common: li
         sample = sample.withColumns({"g_a": F.lit(None).cast("bigint"), "g_b": F.lit(None).cast("bigint")})
     sample = cut(sample, "sample")
     rows = compared(sample.select("item_id_a", "item_id_b"), items, common).join(sample, ["item_id_a", "item_id_b"]).orderBy(F.xxhash64("item_id_a", "item_id_b"), "item_id_a").collect()
+    uncut(sample)
     labelled = [(r.x, y) for r in rows if (y := weak_label(list(r.x), None if r.g_a is None or r.g_b is None else r.g_a == r.g_b)) is not None]
     if len({y for _, y in labelled}) < 2:
         raise ValueError("the candidate pairs give labels of one kind only or none; hand in a fitted model")
@@ -331,6 +382,27 @@ def _closed(links: DataFrame, firsts: DataFrame, common: list[str], score) -> Da
         links, tried = links.unionByName(added), tried.unionByName(met.select("head_a", "head_b"))
 
 
+def _links(items: DataFrame, blocks: DataFrame, meetings: float, common: list[str], score, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold: ``head_a, head_b, confidence``.
+
+    Comparing sends both items along with every pair, far more than the items
+    themselves. So pairs are made and compared tile by tile, and what a tile
+    shuffled is gone before the next; all tiles together are all pairs.
+    """
+    spark, path = items.sparkSession, scratch_path(items.sparkSession, "links")
+    slices = math.ceil(math.sqrt(2 * meetings / max(LEAST_TILE, TILE * items.count()))) or 1
+    for i in range(slices):
+        for j in range(i, slices):
+            side = items if slices == 1 else items.filter(_slice_of("item_id", slices).isin(i, j))
+            met = cut(pairs_of(blocks, i, j, slices), "pairs")
+            pairs = cut(worth_reading(met, side), "pairs")
+            uncut(met)
+            found = compared(pairs, side, common).mapInPandas(score, LINKS).filter(F.col("confidence") >= threshold)
+            found.select("head_a", "head_b", "confidence").write.mode("append").parquet(path)
+            uncut(pairs)
+    return spark.read.schema("head_a bigint, head_b bigint, confidence double").parquet(path)
+
+
 def match_classes(
     papers: DataFrame,
     groups: DataFrame | None = None,
@@ -346,23 +418,33 @@ def match_classes(
     smallest item; links stand between classes, so that copies cost nothing.
     Arguments and cases as in :func:`match_entities`.
     """
-    items = cut(prepare(papers), "items")
-    common = common_stems(items)
-    classed = items.withColumn("class", _slot_of(["source", *COMPARED]))
-    heads = cut(classed.groupBy("class").agg(F.min("item_id").alias("head")), "classes")
-    members = classed.select("item_id", "source", "class").join(heads, "class").select("item_id", "source", "head")
-    if groups is not None and exclude_groups:
-        left_out = groups.select("item_id").filter("item_id IS NOT NULL").distinct()
-        members = members.join(left_out, "item_id", "left_anti")
-    members = cut(members, "members")
-    firsts = cut(items.join(heads.select(F.col("head").alias("item_id")), "item_id", "left_semi"), "firsts")
-    pairs = cut(candidate_pairs(firsts, common), "pairs")
-    if pairs.isEmpty():
-        return papers.sparkSession.createDataFrame([], "head_a bigint, head_b bigint, confidence double"), members
-    score = _scorer(papers.sparkSession, model or fit(firsts, pairs, groups, common, train_pairs))
-    found = compared(pairs, firsts, common).mapInPandas(score, LINKS).filter(F.col("confidence") >= threshold)
-    links = cut(found.drop("clash"), "links")
-    return (_closed(links, firsts, common, score) if closing else links), members
+    spark = papers.sparkSession
+    with brief_shuffles(spark):
+        items = cut(prepare(papers), "items")
+        common = common_stems(items)
+        classed = items.withColumn("class", _slot_of(["source", *COMPARED]))
+        heads = cut(classed.groupBy("class").agg(F.min("item_id").alias("head")), "classes")
+        members = classed.select("item_id", "source", "class").join(heads, "class").select("item_id", "source", "head")
+        if groups is not None and exclude_groups:
+            left_out = groups.select("item_id").filter("item_id IS NOT NULL").distinct()
+            members = members.join(left_out, "item_id", "left_anti")
+        members = cut(members, "members")
+        firsts = cut(items.join(heads.select(F.col("head").alias("item_id")), "item_id", "left_semi"), "firsts")
+        uncut(items, heads)
+        blocks, meetings = candidate_blocks(firsts, common)
+        if model is None:
+            drawn = _drawn(blocks, meetings, train_pairs)
+            if drawn.isEmpty():
+                return spark.createDataFrame([], "head_a bigint, head_b bigint, confidence double"), members
+            model = fit(firsts, drawn, groups, common, train_pairs)
+            uncut(drawn)
+        score = _scorer(spark, model)
+        links = _links(firsts, blocks, meetings, common, score, threshold)
+        uncut(blocks)
+        if closing:
+            links = _closed(links, firsts, common, score)
+        uncut(firsts)
+        return links, members
 
 
 def match_entities(papers: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:

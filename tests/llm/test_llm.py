@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import contamination, language, matching, mixing, papers, queries, survivor
 from folioscan.llm.distinctive import term_relevance
+from folioscan.session import shared_dir
 from tests.conftest import rows
 from verify import canonical
 
@@ -257,6 +258,46 @@ def test_large_blocks_are_whole(spark, monkeypatch, part):
     assert set(got) == set().union(*(all_pairs([r[0] for r in b]) for b in blocks))
 
 
+@pytest.fixture
+def crowd(spark):
+    """Items with one surname or none, some of which share identifiers, so that pairs meet in blocks of several kinds."""
+    row = lambda i: (i, f"Topology of motives {chr(97 + i % 26) * 4}", "A. Wang" if i % 3 else None, str(1950 + i % 70), None, None, f"s{i}", f"10.1234/{i // 4}.1", None, None)
+    return spark.createDataFrame([row(i) for i in range(120)], EMPTY_PAPERS)
+
+
+def test_tiles_are_all_pairs(crowd):
+    """Each pair is in exactly one tile, whatever blocks it meets in."""
+    items = matching.prepare(crowd)
+    whole = [tuple(r) for r in matching.candidate_pairs(items, []).collect()]
+    assert len(whole) > 3000
+    blocks, meetings = matching.candidate_blocks(items, [])
+    assert meetings >= len(whole)
+    tiles = [[tuple(r) for r in matching.pairs_of(blocks, i, j, 4).collect()] for i in range(4) for j in range(i, 4)]
+    assert sorted(p for t in tiles for p in t) == sorted(whole)
+    assert max(map(len, tiles)) < len(whole) / 4
+    drawn = {tuple(r) for r in matching._drawn(blocks, meetings, 50).collect()}
+    order = [tuple(r) for r in matching.candidate_pairs(items, []).orderBy(F.xxhash64("item_id_a", "item_id_b")).limit(50).collect()]
+    assert set(order) <= drawn and len(drawn) < len(whole)
+
+
+def test_comparing_takes_bounded_disk(spark, crowd, matcher, monkeypatch):
+    """Pairs are compared a few at a time, with the same result; what nothing reads any more is deleted."""
+    monkeypatch.setattr(matching, "LEAST_TILE", 10**9)
+    found = lambda **k: {(r.item_id_a, r.item_id_b, round(r.confidence, 9)) for r in matching.match_entities(crowd, model=matcher, **k).collect()}
+    whole = found()
+    monkeypatch.setattr(matching, "LEAST_TILE", 1000)
+    sizes, compared = [], matching.compared
+    monkeypatch.setattr(matching, "compared", lambda pairs, *a: sizes.append(pairs.count()) or compared(pairs, *a))
+    folder = f"{shared_dir(spark)}/folioscan".removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert whole and found(closing=False) <= whole
+    assert len(sizes) > 5 and max(sizes) < 1000
+    left = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"links", "members"}
+    assert found() == whole
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_closing_goes_on_to_the_end(spark, monkeypatch):
     """A work under two titles, two items each: its ends are three links apart."""
     model = matching.Classifier()
