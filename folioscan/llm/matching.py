@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,7 @@ PERMUTATIONS = 8
 SURE = 0.9  # confidence from which a link may carry others
 PART = 500  # items of a block whose pairs with all of the block are one task's work
 TILE = 6  # meetings in blocks, for each item, that are compared at a time; what a comparison shuffles takes this share of the disk
+HEAD = 40  # words of an abstract that tell whether two can be alike, before they are read
 LEAST_TILE = 1_000_000  # meetings that are compared at a time in any case
 
 
@@ -257,11 +260,116 @@ def worth_reading(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.filter(_worth_reading()).select("item_id_a", "item_id_b")
 
 
-def compared(pairs: DataFrame, items: DataFrame, common: list[str]) -> DataFrame:
-    """``item_id_a, item_id_b, x``: the features of each pair that is worth reading."""
+def compared(pairs: DataFrame, items: DataFrame, common: list[str], model: Classifier | None = None, threshold: float = 0.0) -> DataFrame:
+    """``item_id_a, item_id_b, x``: the features of each pair that is worth reading; with ``model``, only of those that may reach the threshold."""
+    columns = {c: F.col(c) for c in ["stems", *COMPARED]} | ({} if model is None else _outline(common))
     for s in "ab":
-        pairs = pairs.join(items.select(F.col("item_id").alias(f"item_id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ["stems", *COMPARED]]), f"item_id_{s}")
-    return pairs.filter(_worth_reading()).drop("stems_a", "stems_b").mapInPandas(_feature_batches(set(common)), "item_id_a bigint, item_id_b bigint, x array<double>")
+        pairs = pairs.join(items.select(F.col("item_id").alias(f"item_id_{s}"), *[c.alias(f"{n}_{s}") for n, c in columns.items()]), f"item_id_{s}")
+    read, out = pairs.filter(_worth_reading()).drop("stems_a", "stems_b"), "item_id_a bigint, item_id_b bigint, x array<double>"
+    if model is None:
+        return read.mapInPandas(_feature_batches(set(common)), out)
+    weights, least, compare = model.weights, model.least_logit(threshold), _feature_batches(set(common))
+    wanted = ["item_id_a", "item_id_b", *[f"{c}_{s}" for s in "ab" for c in COMPARED]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(greatest_logit(batch, weights) >= least)).select(wanted)
+            for found in compare([kept.to_pandas()] if kept.num_rows else []):
+                x = pa.array(found["x"].tolist(), pa.list_(pa.float64()))
+                yield pa.record_batch([pa.array(found["item_id_a"]), pa.array(found["item_id_b"]), x], ["item_id_a", "item_id_b", "x"])
+
+    return read.mapInArrow(run, out)
+
+
+# --- a bound, so that Python reads few pairs word by word
+
+
+def _outline(common: list[str]) -> dict[str, Column]:
+    """What :func:`greatest_logit` knows of an item: of each word its hash, that of its start, its letters as bits, length and weight; and the year."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))
+    letters_in = lambda t: F.aggregate(F.split(t, ""), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(bit(c)))
+    usual = F.array(*[F.lit(s) for s in common]).cast("array<string>")
+    weight = lambda t: F.when(t.isin(*WEIGHT), 0.2).when(F.array_contains(usual, F.substring(t, 1, STEM)), 1.0).otherwise(3.0)
+    words = {"hashes": lambda t: F.xxhash64(t), "starts": lambda t: F.xxhash64(F.substring(t, 1, 3)), "bits": letters_in, "lengths": lambda t: F.length(t), "weights": weight}
+    dated = F.when(F.col("year") != 0, F.col("year")).when(F.col("arxiv") != "", F.substring("arxiv", 1, 2).cast("int") + 2000).otherwise(0)
+    return {n: F.transform("tokens", f) for n, f in words.items()} | {"dated": dated}
+
+
+def _padded(lists: pa.ListArray, low: int, high: int, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` first values of the lists of rows ``low`` to ``high`` as a matrix, and which of its cells hold one."""
+    ends, values = lists.offsets.to_numpy()[low : high + 1], lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.minimum(np.diff(ends), most)
+    at = np.arange(max(1, sizes.max(initial=0)))
+    held = at < sizes[:, None]
+    return (values if len(values) else np.zeros(1, values.dtype))[np.where(held, ends[:-1, None] + at, 0)], held
+
+
+def _greatest_covers(batch: pa.RecordBatch, low: int, high: int) -> list[np.ndarray]:
+    """Upper bounds of both results of :func:`cover`: every word counts that the other title has, or may have in another spelling."""
+    a, b = ({n: _padded(batch[f"{n}_{s}"], low, high) for n in ("hashes", "starts", "bits", "lengths", "weights")} for s in "ab")
+    p, q = ({n: np.expand_dims(v, side) for n, (v, _) in x.items()} for x, side in ((a, 2), (b, 1)))
+    both = a["hashes"][1][:, :, None] & b["hashes"][1][:, None, :]
+    same = both & (p["hashes"] == q["hashes"])
+    shorter = np.minimum(p["lengths"], q["lengths"])
+    most = np.where(shorter < 8, 1, 2)  # as in _word_match; each change alters at most two of the letters that occur
+    close = (shorter >= 4) & (np.abs(p["lengths"] - q["lengths"]) <= most) & (np.bitwise_count(p["bits"] ^ q["bits"]) <= 2 * most)
+    like = both & (close | (shorter >= 3) & (p["starts"] == q["starts"]))
+    out = []
+    for x, axis in ((a, 2), (b, 1)):
+        w = np.where(x["weights"][1], x["weights"][0], 0.0)
+        out.append((w * np.where(same.any(axis), 1.0, np.where(like.any(axis), 0.95, 0.0))).sum(1) / np.maximum(w.sum(1), 1e-9))
+    return out
+
+
+def greatest_logit(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
+    """Upper bounds of ``features(a, b) @ weights`` for pairs with their :func:`_outline`.
+
+    Years, marks and identifiers count as they are, titles by
+    :func:`_greatest_covers`, and names as well as can be; an abstract agrees no
+    better than its first ``HEAD`` words let it.
+    """
+    n, w = batch.num_rows, dict(zip(FEATURES, map(float, weights)))
+    of = lambda c: [batch[f"{c}_{s}"] for s in "ab"]
+    numbers = lambda c: [x.to_numpy(zero_copy_only=False) for x in of(c)]
+    sizes = lambda c: [np.diff(x.offsets.to_numpy()) for x in of(c)]
+    up = lambda name, most: max(w[name], 0.0) * most
+    widest = [max(1, x.max(initial=0)) for x in sizes("hashes")]
+    step = max(1, 300_000 // (widest[0] * widest[1]))  # some MB a matrix
+    covers, differ = [], []
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        covers.append(_greatest_covers(batch, low, high))
+        (a, held_a), (b, held_b) = (_padded(x, low, high, HEAD) for x in of("abstract"))
+        k = min(a.shape[1], b.shape[1])
+        differ.append((held_a[:, :k] & held_b[:, :k] & (a[:, :k] != b[:, :k])).sum(1))
+    x, y = (np.concatenate([c[i] for c in covers] or [np.zeros(0)]) for i in (0, 1))
+    most, least = np.maximum(x, y), np.minimum(x, y)
+    marked = numbers("cut")
+    cut_cover = np.where(marked[0] | marked[1], most, 0.0)
+    title = np.minimum(1.0, np.maximum(least, cut_cover))
+    names = sizes("names")
+    none = (names[0] == 0) | (names[1] == 0)
+    years = numbers("dated")
+    gap = np.where((years[0] != 0) & (years[1] != 0), np.abs(years[0] - years[1]), -1)
+    z = w["intercept"] + up("title_most", most) + up("title_least", least) + up("title_all", least > 0.969) + up("cut_cover", cut_cover)
+    z = z + w["year_same"] * (gap == 0) + w["year_off"] * ((gap > 0) & (gap <= 2)) + w["year_far"] * (gap > 3)
+    shared = np.zeros(n, dtype=bool)
+    for c in ("doi", "arxiv"):
+        a, b = of(c)
+        known = pc.and_(pc.not_equal(a, ""), pc.not_equal(b, "")).to_numpy(zero_copy_only=False)
+        one = pc.equal(a, b).to_numpy(zero_copy_only=False)
+        z = z + w[f"{c}_same"] * (known & one) + w[f"{c}_other"] * (known & ~one)
+        shared |= known & one
+    named = up("names_same", 1.0) + up("names_other", 1.0) + up("title_x_names", title) + up("id_x_names", 1.0) * shared
+    z = z + np.where(none, w["names_none"] + up("title_x_blank", title), named)
+    k = np.minimum(*sizes("abstract"))
+    alike = 1.0 - np.concatenate(differ or [np.zeros(0)]) / np.maximum(k, 1)
+    open_ = max(0.0, w["abstract_other"])
+    z = z + np.where(k < 5, 0.0, np.where(alike < 0.499, w["abstract_other"], np.where(alike < 0.849, open_, max(open_, w["abstract_same"]))))
+    a, b = of("note")
+    noted = pc.not_equal(pc.equal(a, ""), pc.equal(b, "")).to_numpy(zero_copy_only=False)
+    differs = lambda c: np.not_equal(*numbers(c))
+    return z + w["part_other"] * differs("part") + w["note_other"] * noted + w["question_other"] * differs("question")
 
 
 class Classifier:
@@ -297,6 +405,13 @@ class Classifier:
             self.scale, self.shift = 1.0, 0.0
         return self
 
+    def least_logit(self, threshold: float) -> float:
+        """A bound that ``x @ weights`` reaches wherever the probability reaches the threshold, with room for rounding."""
+        if self.scale <= 0 or threshold <= 1e-9:
+            return -math.inf
+        p = min(threshold, 1 - 1e-9)
+        return (math.log(p / (1 - p)) - self.shift) / self.scale - 1e-6
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * (x @ self.weights) + self.shift, -30, 30)))
 
@@ -382,12 +497,13 @@ def _closed(links: DataFrame, firsts: DataFrame, common: list[str], score) -> Da
         links, tried = links.unionByName(added), tried.unionByName(met.select("head_a", "head_b"))
 
 
-def _links(items: DataFrame, blocks: DataFrame, meetings: float, common: list[str], score, threshold: float) -> DataFrame:
+def _links(items: DataFrame, blocks: DataFrame, meetings: float, common: list[str], score, threshold: float, model: Classifier) -> DataFrame:
     """Pairs that reach the threshold: ``head_a, head_b, confidence``.
 
     Comparing sends both items along with every pair, far more than the items
     themselves. So pairs are made and compared tile by tile, and what a tile
-    shuffled is gone before the next; all tiles together are all pairs.
+    shuffled is gone before the next; all tiles together are all pairs. Python
+    reads only pairs that :func:`greatest_logit` lets reach the threshold.
     """
     spark, path = items.sparkSession, scratch_path(items.sparkSession, "links")
     slices = math.ceil(math.sqrt(2 * meetings / max(LEAST_TILE, TILE * items.count()))) or 1
@@ -397,7 +513,7 @@ def _links(items: DataFrame, blocks: DataFrame, meetings: float, common: list[st
             met = cut(pairs_of(blocks, i, j, slices), "pairs")
             pairs = cut(worth_reading(met, side), "pairs")
             uncut(met)
-            found = compared(pairs, side, common).mapInPandas(score, LINKS).filter(F.col("confidence") >= threshold)
+            found = compared(pairs, side, common, model, threshold).mapInPandas(score, LINKS).filter(F.col("confidence") >= threshold)
             found.select("head_a", "head_b", "confidence").write.mode("append").parquet(path)
             uncut(pairs)
     return spark.read.schema("head_a bigint, head_b bigint, confidence double").parquet(path)
@@ -439,7 +555,7 @@ def match_classes(
             model = fit(firsts, drawn, groups, common, train_pairs)
             uncut(drawn)
         score = _scorer(spark, model)
-        links = _links(firsts, blocks, meetings, common, score, threshold)
+        links = _links(firsts, blocks, meetings, common, score, threshold, model)
         uncut(blocks)
         if closing:
             links = _closed(links, firsts, common, score)

@@ -280,6 +280,36 @@ def test_tiles_are_all_pairs(crowd):
     assert set(order) <= drawn and len(drawn) < len(whole)
 
 
+def test_python_reads_only_pairs_that_may_match(spark, crowd, matcher, tiny):
+    """The bound of a pair is never below its logit; only pairs that may reach the threshold are read, and all that reach it are."""
+    import numpy as np
+    import pyarrow as pa
+
+    noisy = queries.table(spark, tiny, "retrieve_papers").select(F.col("item_id") + 1000, *crowd.columns[1:]).toDF(*crowd.columns)
+    items = matching.prepare(crowd.unionByName(noisy)).localCheckpoint()
+    common = matching.common_stems(items)
+    pairs = items.select(F.col("item_id").alias("item_id_a")).join(items.select(F.col("item_id").alias("item_id_b")), F.col("item_id_a") < F.col("item_id_b"))
+    x = {(r.item_id_a, r.item_id_b): r.x for r in matching.compared(pairs, items, common).collect()}
+    outlined = pairs
+    for s in "ab":
+        outlined = outlined.join(items.select(*[F.col(c).alias(f"{c}_{s}") for c in items.columns], *[c.alias(f"{n}_{s}") for n, c in matching._outline(common).items()]), f"item_id_{s}")
+    some = np.random.default_rng(1)
+    every = [matcher.weights, *some.normal(size=(5, len(matching.FEATURES)))]
+
+    def bounds(batches):
+        for b in batches:
+            found = [matching.greatest_logit(b, w) for w in every]
+            yield pa.record_batch([b["item_id_a"], b["item_id_b"], pa.array(np.transpose(found).tolist(), pa.list_(pa.float64()))], ["a", "b", "z"])
+
+    bound = {(r.a, r.b): r.z for r in outlined.mapInArrow(bounds, "a bigint, b bigint, z array<double>").collect()}
+    assert len(x) > 3000
+    assert all(z >= np.dot(x[p], w) - 1e-9 for p in x for z, w in zip(bound[p], every))
+    read = {(r.item_id_a, r.item_id_b): r.x for r in matching.compared(pairs, items, common, matcher, 0.5).collect()}
+    reach = {p for p, v in x.items() if matcher.probability(np.array([v]))[0] >= 0.5}
+    assert reach and reach <= set(read) and all(read[p] == x[p] for p in read)
+    assert len(read) < len(x) / 2
+
+
 def test_comparing_takes_bounded_disk(spark, crowd, matcher, monkeypatch):
     """Pairs are compared a few at a time, with the same result; what nothing reads any more is deleted."""
     monkeypatch.setattr(matching, "LEAST_TILE", 10**9)
