@@ -87,6 +87,24 @@ def test_vector_search(spark):
         E.vector_top_k(vectors, spark.createDataFrame([(1, [1.0])], "qid int, embedding array<double>"), 3).collect()
 
 
+@pytest.mark.parametrize("k, tied", [(3, 0), (3, 300), (70, 300)])
+def test_a_task_sends_on_only_its_best(spark, monkeypatch, k, tied):
+    """Over many slices the result is exact, with ties by id; each task passes on its ``k`` best of a query, not those of every slice."""
+    monkeypatch.setattr(E, "SLICE", 64)
+    sent, rank = [], E.top_k
+    monkeypatch.setattr(E, "top_k", lambda df, *a: sent.append(df.count()) or rank(df, *a))
+    rng = np.random.default_rng(2)
+    m = np.concatenate([rng.normal(size=(1200, 4)), np.zeros((tied, 4)), np.ones((tied, 4))])[rng.permutation(1200 + 2 * tied)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id int, embedding array<double>").coalesce(1)
+    asked = [*rng.normal(size=(7, 4)).tolist(), [1.0] * 4, [-1.0] * 4, *[[0.0] * 4] * bool(tied)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid int, embedding array<double>")
+    got = sorted((r.qid, r["rank"], r.id) for r in E.vector_top_k(vectors, queries, k).collect())
+    scores = [np.round(m @ np.array(q), 9) for q in asked]
+    assert got == [(q, n, i) for q, s in enumerate(scores) for n, i in enumerate(sorted(range(len(m)), key=lambda i: (-s[i], i))[:k], 1)]
+    if not tied:
+        assert k * len(asked) <= sent[0] <= 4 * k * len(asked)  # of 19 slices
+
+
 def test_reuse(spark):
     docs = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")], "id string, doc_hash string")
     old = spark.createDataFrame([("a", "1", [1.0]), ("b", "x", [2.0]), ("c", "3", [3.0]), ("z", "9", [9.0])], "id string, doc_hash string, embedding array<double>")
